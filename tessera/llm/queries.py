@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from tessera.llm.chat import OP8_SQL, op8_chat
+from tessera.llm.decontamination import OP9_SQL, op9_decontamination
 from tessera.llm.media import op4_media
+from tessera.llm.quality import op10_quality
 from tessera.llm.sharding import op7_sharding
 from tessera.llm.warc import op3_warc
 
@@ -10,6 +13,9 @@ QUERIES = {
     "op3_warc": op3_warc,
     "op4_media": op4_media,
     "op7_sharding": op7_sharding,
+    "op8_chat": op8_chat,
+    "op9_decontamination": op9_decontamination,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL = {
@@ -21,4 +27,6 @@ ORACLE_SQL = {
                CASE WHEN payload_bytes >= 1000 AND page_id < winner THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 1000 AND page_id < winner THEN winner END AS refers_to
         FROM d""",
+    "op8_chat": OP8_SQL,
+    "op9_decontamination": OP9_SQL,
 }
