@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read one parquet table of a data folder."""
+    """Read one parquet table of a data folder.
+
+    Python workers on this machine are told where the package is, should the session not have been started beside it;
+    on a cluster it is installed or sent with ``--py-files``.
+    """
+    env, home = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    if home not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [home, env.get("PYTHONPATH")]))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -5,11 +5,15 @@ from __future__ import annotations
 from tessera.llm.chat import OP8_SQL, op8_chat
 from tessera.llm.decontamination import OP9_SQL, op9_decontamination
 from tessera.llm.media import op4_media
+from tessera.llm.minhash import op1_minhash
+from tessera.llm.pii import op2_pii
 from tessera.llm.quality import op10_quality
 from tessera.llm.sharding import op7_sharding
 from tessera.llm.warc import op3_warc
 
 QUERIES = {
+    "op1_minhash": op1_minhash,
+    "op2_pii": op2_pii,
     "op3_warc": op3_warc,
     "op4_media": op4_media,
     "op7_sharding": op7_sharding,
