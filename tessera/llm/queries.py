@@ -9,6 +9,7 @@ from tessera.llm.minhash import op1_minhash
 from tessera.llm.pii import op2_pii
 from tessera.llm.quality import op10_quality
 from tessera.llm.sharding import op7_sharding
+from tessera.llm.suffixes import op5_suffixes
 from tessera.llm.warc import op3_warc
 
 QUERIES = {
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_pii": op2_pii,
     "op3_warc": op3_warc,
     "op4_media": op4_media,
+    "op5_suffixes": op5_suffixes,
     "op7_sharding": op7_sharding,
     "op8_chat": op8_chat,
     "op9_decontamination": op9_decontamination,
