@@ -7,11 +7,49 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.common import materialize, table
+from tessera.llm.decontamination import drop_contaminated
+from tessera.llm.minhash import keep_one
+from tessera.llm.mixing import mix
+from tessera.llm.quality import keep_good
+from tessera.llm.sharding import shard_documents
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier keeps; it is fitted on the labelled ones among ``docs``."""
+    return keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of least id of each group of near copies."""
+    return keep_one(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of a benchmark item."""
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents thinned to the target weights. No rate is above 1, so none comes twice and clean documents keep theirs."""
+    return mix(docs, table(spark, sf_dir, "labels"), most=1.0)
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each document goes: doc_id, lang, source, size, checksum, shard and slot."""
+    return shard_documents(docs, keep=tuple(c for c in ("lang", "source") if c in docs.columns))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", quality),
+    ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("mixing", mixing),
+    ("sharding", sharding),
+]
+
+#: A trained classifier and hashed signatures decide; SQL can't express these stages.
 ORACLE_SQL: str | None = None
 
 

@@ -173,23 +173,27 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     return fit(parts, np.array([r["label"]["label"] for r in rows], float))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with a column ``_score``. ``docs`` must have a column text."""
+def score(docs: DataFrame, model: Model, name: str = "_score") -> DataFrame:
+    """``docs``, which must have a column text, with a column ``name``."""
+
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, whole.schema.get_field_index("text")):
                 row, bucket, value, stats = features(batch.column("text"))
                 z, _ = forward(model, row, bucket, value, standard(model, stats))
                 p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-                yield batch.append_column("_score", pa.array(p))
+                yield batch.append_column(name, pa.array(p))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(scored, f"{fields}, _score double")
+    return docs.mapInArrow(scored, f"{fields}, `{name}` double")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that score at least ``threshold``, all columns as they are."""
-    return score(docs, train(docs, labels)).where(F.col("_score") >= threshold).drop("_score")
+    name = "_score"
+    while name in docs.columns:
+        name += "_"
+    return score(docs, train(docs, labels), name).where(F.col(name) >= threshold).drop(name)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

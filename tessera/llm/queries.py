@@ -6,6 +6,7 @@ from tessera.llm.chat import OP8_SQL, op8_chat
 from tessera.llm.decontamination import OP9_SQL, op9_decontamination
 from tessera.llm.media import op4_media
 from tessera.llm.minhash import op1_minhash
+from tessera.llm.mixing import op6_mixing
 from tessera.llm.pii import op2_pii
 from tessera.llm.quality import op10_quality
 from tessera.llm.sharding import op7_sharding
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_warc": op3_warc,
     "op4_media": op4_media,
     "op5_suffixes": op5_suffixes,
+    "op6_mixing": op6_mixing,
     "op7_sharding": op7_sharding,
     "op8_chat": op8_chat,
     "op9_decontamination": op9_decontamination,
