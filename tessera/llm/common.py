@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -63,3 +64,16 @@ def text_of(df: DataFrame, name: str = "text") -> Column:
 
 def utf8(text: Column) -> Column:
     return F.encode(text, "UTF-8")
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete written tables that no later result reads."""
+    for t in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+            discard(t.sparkSession, folder)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of what has been written and is no longer referenced."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

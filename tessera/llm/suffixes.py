@@ -12,9 +12,11 @@ Exact result from the heads that occur twice:
 
 * ``around`` occurs twice: all windows of the entry are repeated;
 * else, if its head has other surroundings: its windows are fingerprinted one by one (200 bytes each), with one entry for each other
-  surrounding, and counted. Only the ends of repeated passages and the places of edits come to this.
+  surrounding. Only the ends of repeated passages and the places of edits come to this. Entries of one head meet in order of head, a bounded number at a
+  time, and their fingerprints are compared by one sort; those of heads with more than CROWD surroundings are first merged within each task and then
+  dealt by hash into shares of bounded size.
 
-No step pairs entries: everything is counted by key, combines on the map side, and rejoins by key (sort-merge joins that Spark splits where a
+No step pairs entries: everything is sorted or counted by key, combines on the map side, and rejoins by key (sort-merge joins that Spark splits where a
 key is hot). Fingerprints are 64 bits of their own beside 64 bits of the head. Tables that are used up are deleted, and their shuffle files with them.
 
 Defined results: null text is empty; texts under 200 bytes lose nothing; repeated rows are documents that repeat each other; a null doc_id is a value
@@ -23,17 +25,17 @@ like others; an empty table gives no rows; other columns are ignored. Long docum
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import discard, materialize, table, text_of, utf8
-from tessera.llm.textnum import U, buffers, mix, powers, slices
+from tessera.llm.common import drop, materialize, release, table, text_of, utf8
+from tessera.llm.textnum import U, buffers, by_key, mix, powers, slices
 
 LENGTH = 200
 WINDOWS = 128
@@ -42,6 +44,12 @@ GRAM = LENGTH - WINDOWS + 1
 PIECE = 2 << 20
 #: Batches in which documents enter the index family.
 BATCHES = 2
+#: Surroundings of a head that are compared in one place.
+CROWD = 400
+#: Windows of a crowded head that are compared in one place.
+SHARE = 16_384
+#: Stands for a null doc_id while ranges are found.
+NO_ID = -(2**63)
 
 
 def prefix_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,45 +177,134 @@ class SuffixFamily:
         return out
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of what has been written and is no longer referenced."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def drop(*tables: DataFrame) -> None:
-    for t in tables:
-        for folder in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
-            discard(t.sparkSession, folder)
+def prints_of(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The starts and fingerprints of the windows of some entries of one document, in order of entry. Entries ascend by first window."""
+    n = last - first + 1
+    start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - first, n)
+    prints = np.empty(len(start), U)
+    for a in range(int(start.min(initial=0)), int(start.max(initial=-1)) + 1, PIECE):
+        here = (start >= a) & (start < a + PIECE)
+        if here.any():
+            total, down = prefix_sums(data[a : a + PIECE + LENGTH - 1])
+            x = start[here] - a
+            prints[here] = mix((total[x + LENGTH] - total[x]) * down[x])
+    return start, prints
+
+
+def _wanted(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """For up to 4096 entries of a document at a time: its id and digest, the entries' heads and surroundings, and of each window its start, entry and fingerprint."""
+    for i in range(batch.num_rows):
+        data = np.frombuffer(batch.column(2)[i].as_buffer(), np.uint8)
+        wanted = batch.column(3)[i].values
+        head, first, last, around = (wanted.field(f).to_numpy() for f in ("head", "first", "last", "surroundings"))
+        order = np.argsort(first)
+        for a in range(0, len(order), 4096):
+            own = order[a : a + 4096]
+            f = first[own].astype(np.int64)
+            n = last[own].astype(np.int64) - f + 1
+            start, prints = prints_of(data, f, f + n - 1)
+            yield batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), head[own], around[own], start, np.repeat(np.arange(len(n)), n), prints
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fingerprints of the windows of each wanted entry."""
+    """A row for each entry: the fingerprints of its windows."""
     names = ["doc_id", "digest", "head", "first", "prints"]
     for batch in batches:
-        for i in range(batch.num_rows):
-            data = np.frombuffer(batch.column(2)[i].as_buffer(), np.uint8)
-            wanted = batch.column(3)[i].values
-            head, first, last = (np.asarray(wanted.field(f)) for f in ("head", "first", "last"))
-            keep = np.argsort(first)
-            for a in range(0, len(keep), 4096):
-                own = keep[a : a + 4096]
-                h, f, l = head[own], first[own].astype(np.int64), last[own].astype(np.int64)
-                cut = np.concatenate([[0], np.cumsum(l - f + 1)])
-                start = np.arange(cut[-1]) - np.repeat(cut[:-1] - f, l - f + 1)
-                prints = np.empty(len(start), U)
-                for b in range(0, len(start), PIECE):  # start ascends, up to one entry's length
-                    s = start[b : b + PIECE]
-                    low = int(s.min())
-                    for c in range(low, int(s.max()) + 1, PIECE):
-                        here = (s >= c) & (s < c + PIECE)
-                        if here.any():
-                            total, down = prefix_sums(data[c : c + PIECE + LENGTH])
-                            x = s[here] - c
-                            prints[b : b + PIECE][here] = mix((total[x + LENGTH] - total[x]) * down[x])
-                lists = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(prints.view(np.int64)))
-                n = len(own)
-                yield pa.record_batch([pa.array([batch.column(0)[i].as_py()] * n, pa.int64()), pa.array([batch.column(1)[i].as_py()] * n, pa.int64()), pa.array(h), pa.array(f.astype(np.int32)), lists], names=names)
+        for doc, digest, head, _, start, entry, prints in _wanted(batch):
+            cut = np.searchsorted(entry, np.arange(len(head) + 1))
+            lists = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(prints.view(np.int64)))
+            yield pa.record_batch([pa.array(np.full(len(head), doc)), pa.array(np.full(len(head), digest)), pa.array(head), pa.array(start[cut[:-1]].astype(np.int32)), lists], names=names)
+
+
+def repeated_runs(doc: np.ndarray, digest: np.ndarray, entry: np.ndarray, start: np.ndarray, twice: np.ndarray) -> list[pa.Array]:
+    """Byte ranges (doc, digest, a, b) of the runs of windows that are marked; windows of an entry follow each other."""
+    begins, ends = twice.copy(), twice.copy()
+    apart = entry[1:] != entry[:-1]
+    begins[1:] &= ~twice[:-1] | apart
+    ends[:-1] &= ~twice[1:] | apart
+    b, e = np.flatnonzero(begins), np.flatnonzero(ends)
+    return [pa.array(doc[b]), pa.array(digest[b]), pa.array(start[b].astype(np.int32)), pa.array((start[e] + LENGTH).astype(np.int32))]
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The runs of windows that another entry of the same head has too. Rows come in order of head."""
+    for rows in by_key(batches, [2]):
+        doc, digest, head, first = (rows.column(i).to_numpy() for i in range(4))
+        lists = rows.column(4).combine_chunks()
+        n = pc.list_value_length(lists).to_numpy()
+        entry = np.repeat(np.arange(len(n)), n)
+        key = mix(lists.flatten().to_numpy().view(U) + mix(head.view(U))[entry])
+        order = np.argsort(key, kind="stable")
+        same = key[order][1:] == key[order][:-1]
+        twice = np.zeros(len(key), bool)
+        twice[order[1:][same]] = twice[order[:-1][same]] = True
+        start = np.arange(len(key)) - np.repeat(np.cumsum(n) - n - first, n)
+        yield pa.record_batch(repeated_runs(doc[entry], digest[entry], entry, start, twice), names=["doc_id", "digest", "a", "b"])
+
+
+def _crowd(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of heads with many surroundings: runs of windows that this task sees twice, and all different fingerprints, cut by a hash into shares of bounded size.
+
+    A share's arrays hold each fingerprint once: with where it stands, or with n = 2 if it was seen twice here.
+    """
+    names = ["doc_id", "digest", "a", "b", "head", "share", "prints", "n", "docs", "digests", "starts"]
+    longs = pa.list_(pa.int64())
+
+    def settled(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        size = [len(x[4]) for x in held]
+        doc, digest = (np.repeat(np.array([x[i] for x in held], np.int64), size) for i in (0, 1))
+        head, around = (np.concatenate([x[i][x[5]] for x in held]) for i in (2, 3))
+        start, prints = (np.concatenate([x[i] for x in held]) for i in (4, 6))
+        entry = np.concatenate([x[5] + base for x, base in zip(held, np.cumsum([0, *[len(x[2]) for x in held[:-1]]]), strict=True)])
+        order = np.lexsort((prints, head))
+        new = np.concatenate([[True], (prints[order][1:] != prints[order][:-1]) | (head[order][1:] != head[order][:-1])])
+        first = np.flatnonzero(new)
+        count = np.diff(np.append(first, len(order)))
+        twice = np.zeros(len(order), bool)
+        twice[order] = np.repeat(count > 1, count)
+        runs = repeated_runs(doc, digest, entry, start, twice)
+        k = len(runs[0])
+        yield pa.record_batch([*runs, pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), *[pa.nulls(k, longs)] * 5], names=names)
+        one = order[first]
+        shares = np.maximum(1, around[one].astype(np.int64) * WINDOWS // SHARE).astype(U)
+        share = ((mix(prints[one]) >> U(20)) % shares).astype(np.int32)
+        by = np.lexsort((share, head[one]))
+        one, share, count = one[by], share[by], count[by]
+        cut = np.flatnonzero(np.concatenate([[True], (share[1:] != share[:-1]) | (head[one][1:] != head[one][:-1])]))
+        at = pa.array(np.append(cut, len(one)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(at, pa.array(x.astype(np.int64))) for x in (prints[one].view(np.int64), np.minimum(count, 2), doc[one], digest[one], start[one])]
+        k = len(cut)
+        yield pa.record_batch([*[pa.nulls(k, pa.int64())] * 2, *[pa.nulls(k, pa.int32())] * 2, pa.array(head[one][cut]), pa.array(share[cut]), *lists], names=names)
+
+    held: list[tuple] = []
+    for batch in batches:
+        for x in _wanted(batch):
+            held.append(x)
+            if sum(len(y[4]) for y in held) > 500_000:
+                yield from settled(held)
+                held = []
+    if held:
+        yield from settled(held)
+
+
+def _crowd_alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows whose fingerprint several rows of a (head, share) have. Rows come in this order."""
+    for rows in by_key(batches, [0, 1]):
+        head, share = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+        lists = [rows.column(i).combine_chunks() for i in range(2, 7)]
+        size = pc.list_value_length(lists[0]).to_numpy()
+        prints, n, doc, digest, start = (x.flatten().to_numpy() for x in lists)
+        heads = np.repeat(head, size)
+        order = np.lexsort((prints, np.repeat(share, size), heads))
+        p, h = prints[order], heads[order]
+        first = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (h[1:] != h[:-1])]))
+        total = np.repeat(np.add.reduceat(n[order], first), np.diff(np.append(first, len(p))))
+        hit = order[(total > 1) & (n[order] == 1)]
+        hit = hit[np.lexsort((start[hit], digest[hit], doc[hit]))]
+        # Neighbouring windows of a document are one run.
+        apart = np.ones(len(hit), bool)
+        apart[1:] = (start[hit][1:] - start[hit][:-1] > 1) | (doc[hit][1:] != doc[hit][:-1]) | (digest[hit][1:] != digest[hit][:-1])
+        yield pa.record_batch(repeated_runs(doc[hit], digest[hit], np.cumsum(apart), start[hit], np.ones(len(hit), bool)), names=["doc_id", "digest", "a", "b"])
 
 
 def covered(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -247,38 +344,55 @@ def repeated_ranges(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     for i in range(batches):
         family.insert(docs.where(F.pmod(F.xxhash64("doc_id", text_of(docs)), F.lit(batches)) == i) if batches > 1 else docs)
     repeated = family.repeated()
-    d = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text_of(docs)).alias("digest"), utf8(text_of(docs)).alias("text"))
+    d = keyed(docs)
     found = d.mapInArrow(_entries, "doc_id long, digest long, head long, around long, place int, first int, last int").drop("place")
     found = materialize(found.join(repeated, ["head", "around"]), "entries")
     drop(repeated)
     release(spark)
     full = found.where("n > 1").select("doc_id", "digest", F.col("first").alias("a"), (F.col("last") + LENGTH).alias("b"))
     # One entry for each surrounding of a head that has several.
-    unsure = found.where("surroundings > 1").groupBy("head", "around").agg(F.min(F.struct("doc_id", "digest", "first", "last")).alias("e")).select("head", "e.*")
-    wanted = unsure.groupBy("doc_id", "digest").agg(F.collect_list(F.struct("head", "first", "last")).alias("wanted"))
-    w = wanted.select(F.col("doc_id").alias("w_id"), F.col("digest").alias("w_digest"), "wanted")
-    # Equal rows of one document would fingerprint the same bytes twice, which is harmless only for whole entries; one of them is enough.
-    texts = d.join(w, d["doc_id"].eqNullSafe(w["w_id"]) & (d["digest"] == w["w_digest"])).select("doc_id", "digest", "text", "wanted")
-    prints = materialize(texts.mapInArrow(_windows, "doc_id long, digest long, head long, first int, prints array<long>"), "prints")
+    unsure = found.where("surroundings > 1").groupBy("head", "around").agg(F.min(F.struct("doc_id", "digest", "first", "last")).alias("e"), F.first("surroundings").alias("surroundings"))
+    unsure = materialize(unsure.select("head", "e.*", "surroundings", (F.col("surroundings") > CROWD).alias("crowd")), "unsure")
     release(spark)
-    each = prints.select("doc_id", "digest", "head", "first", F.posexplode("prints").alias("i", "print"))
-    one = each.select("head", "print", F.xxhash64("doc_id", "digest").alias("d"), (F.col("first") + F.col("i")).alias("at"))
-    twice = one.groupBy("head", "print").agg(F.min(F.struct("d", "at")).alias("x"), F.max(F.struct("d", "at")).alias("y")).where("x <> y").select("head", "print")
-    twice = materialize(twice, "twice")
+
+    def texts(crowd: bool) -> DataFrame:
+        """Documents with the entries that are wanted of them."""
+        own = unsure.where(F.col("crowd") == crowd).groupBy("doc_id", "digest").agg(F.collect_list(F.struct("head", "first", "last", "surroundings")).alias("wanted"))
+        w = own.select(F.col("doc_id").alias("w_id"), F.col("digest").alias("w_digest"), "wanted")
+        return d.join(w, (d["doc_id"] == w["w_id"]) & (d["digest"] == w["w_digest"])).select("doc_id", "digest", "text", "wanted")
+
+    place = "doc_id long, digest long, a int, b int"
+    alike = texts(False).mapInArrow(_windows, "doc_id long, digest long, head long, first int, prints array<long>").repartition("head").sortWithinPartitions("head")
+    single = [materialize(alike.mapInArrow(_alike, place), "alike")]
     release(spark)
-    single = each.join(twice, ["head", "print"], "left_semi").select("doc_id", "digest", (F.col("first") + F.col("i")).alias("a"), (F.col("first") + F.col("i") + LENGTH).alias("b"))
-    runs = full.unionByName(single)
+    if unsure.where("crowd").limit(1).count():
+        lists = ", ".join(f"{c} array<long>" for c in ("prints", "n", "docs", "digests", "starts"))
+        seen = materialize(texts(True).mapInArrow(_crowd, f"{place}, head long, share int, {lists}"), "crowd")
+        release(spark)
+        shares = seen.where("head IS NOT NULL").select("head", "share", "prints", "n", "docs", "digests", "starts").repartition("head", "share").sortWithinPartitions("head", "share")
+        single += [materialize(shares.mapInArrow(_crowd_alike, place), "alike"), materialize(seen.where("head IS NULL").select("doc_id", "digest", "a", "b"), "alike")]
+        drop(seen)
+        release(spark)
+    runs = full
+    for part in single:
+        runs = runs.unionByName(part)
     out = materialize(runs.groupBy("doc_id", "digest").agg(F.collect_list(F.struct("a", "b")).alias("runs")), "runs")
-    drop(found, prints, twice)
+    drop(found, unsure, *single)
     release(spark)
     return out
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, digest and bytes. A null id has a number of its own here: rows of equal id and digest have equal texts, and so equal ranges."""
+    return docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID).cast("long")).alias("doc_id"), F.xxhash64(text_of(docs)).alias("digest"), utf8(text_of(docs)).alias("text"))
+
+
 def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the byte ranges that stay) for each document."""
     runs = repeated_ranges(docs, batches).select(F.col("doc_id").alias("r_id"), F.col("digest").alias("r_digest"), "runs")
-    d = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text_of(docs)).alias("digest"), utf8(text_of(docs)).alias("text"))
-    both = d.join(runs, d["doc_id"].eqNullSafe(runs["r_id"]) & (d["digest"] == runs["r_digest"]), "left").select("doc_id", "text", "runs")
+    d = keyed(docs)
+    both = d.join(runs, (d["doc_id"] == runs["r_id"]) & (d["digest"] == runs["r_digest"]), "left")
+    both = both.select(F.nullif("doc_id", F.lit(NO_ID).cast("long")).alias("doc_id"), "text", "runs")
     return both.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept array<struct<a:long,b:long>>")
 
 

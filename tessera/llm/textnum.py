@@ -137,3 +137,22 @@ def copies(keys: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (row[1:] != row[:-1])])
     first = np.flatnonzero(new)
     return row[first], keys[first], np.diff(np.append(first, len(keys)))
+
+
+def by_key(batches: Iterator[pa.RecordBatch], keys: list[int]) -> Iterator[pa.Table]:
+    """Rows that come in order of some columns, cut so that no value of these is in two tables."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+        same = np.ones(rows.num_rows, bool)
+        for k in keys:
+            c = rows.column(k).to_numpy()
+            same &= c == c[-1]
+        cut = int(np.argmax(same))
+        rest = rows.slice(cut)
+        if cut:
+            yield rows.slice(0, cut)
+    if rest is not None:
+        yield rest
