@@ -11,10 +11,11 @@ with an empty slot double the bound), so a document costs about one point a shin
 
 Linking. 1. Documents of the same words are one class, represented by the least id: copies never meet each other again.
 2. Signatures are cut into BANDS bands; classes that agree in a band share a bucket. At a similarity of 0.8 a pair shares none with probability 3e-6.
-3. Each class is verified against its best bucket leader (the least id), then against the leaders of its other buckets unless a class already joins them.
-Verification compares the true multisets. 4. A bucket in which several components are left goes through rounds: the ROUND least members of its smallest
-components are compared with all members of other components and then leave the bucket; this goes on until every bucket holds one component or is used up,
-so every pair that shares a bucket is either joined through others or has been compared. No round makes more than ROUND rows a member.
+3. Each class is verified against its best bucket leader (the least id), then against the leaders of its other buckets unless a component already joins them.
+Verification compares the true multisets. 4. In a bucket that still holds several components, every pair of documents of different components is compared:
+those outside the bucket's largest component visit that component's documents, and each other, in blocks of BLOCK x BLOCK documents, whose overlaps come from one
+inverted index a block. A document visits a component once, however many buckets they share. So every pair that shares a bucket is joined or has been compared.
+Documents that have too many shingles which no other open document has are left out of 4: these bound every overlap from above.
 
 Defined results: null text is empty; texts without words have no shingles and are linked only to each other; repeated rows are in one
 class; a null doc_id takes the class of the ids whose words are the same, else null; an empty table gives no rows; other columns are ignored.
@@ -27,19 +28,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, table, text_of
+from tessera.llm.common import drop, materialize, release, table, text_of
 from tessera.llm.components import components
-from tessera.llm.textnum import U, buffers, copies, mix, shingles, slices, words
+from tessera.llm.textnum import U, buffers, by_key, copies, mix, shingles, slices, words
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 5
 SLOTS = BANDS * ROWS
-#: Members of a bucket that are compared with all others in a round.
-ROUND = 8
+#: Documents on either side of a block of comparisons.
+BLOCK = 1000
 _STEP = U(0xD1B54A32D192ED03)
 
 
@@ -134,24 +135,58 @@ def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 new = np.concatenate([[True], k[1:] != k[:-1]]) if len(k) else np.zeros(0, bool)
                 first = np.flatnonzero(new)
                 nth = np.arange(len(k)) - np.repeat(first, np.diff(np.append(first, len(k))))  # the second copy of a shingle is an element of its own
-                out.append(np.sort(np.where(nth > 0, mix(k + nth.astype(U) * _STEP), k)).tobytes())
-            yield pa.record_batch([batch.column(0), pa.array(out, pa.binary())], names=["id", "elements"])
+                out.append(np.sort(np.where(nth > 0, mix(k + nth.astype(U) * _STEP), k)))
+            lists = pa.ListArray.from_arrays(pa.array(key_at.astype(np.int32)), pa.array(np.concatenate([*out, np.zeros(0, U)]).view(np.int64)))
+            yield pa.record_batch([batch.column(0), lists], names=["id", "elements"])
 
 
-def shared(a: bytes, b: bytes) -> int:
-    x, y = np.frombuffer(a, U), np.frombuffer(b, U)
+def shared(x: np.ndarray, y: np.ndarray) -> int:
+    """Elements in common of two ascending arrays."""
     if len(x) > len(y):
         x, y = y, x
     return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
 
 
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    at = column.offsets.to_numpy()
+    return column.flatten().to_numpy().view(U), at - at[0]
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between visitors and base documents of each block; one for each component that a visitor reaches. Rows come by block, the base first."""
+    for rows in by_key(batches, [0, 1, 2, 3]):
+        block = np.stack([rows.column(k).to_numpy() for k in range(4)])
+        visitor, ids, comp, room = (rows.column(k).to_numpy() for k in range(4, 8))
+        elements, at = _lists(rows.column(8).combine_chunks())
+        size = np.diff(at)
+        edge = np.flatnonzero(np.concatenate([[True], (block[:, 1:] != block[:, :-1]).any(0), [True]]))
+        out: list[tuple[int, int]] = []
+        for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+            mid = lo + int((visitor[lo:hi] == 0).sum())
+            base = slice(at[lo], at[mid])
+            order = np.argsort(elements[base], kind="stable")
+            index, owner = elements[base][order], np.repeat(np.arange(mid - lo), size[lo:mid])[order]
+            for v in range(mid, hi):
+                e = elements[at[v] : at[v + 1]]
+                left, right = np.searchsorted(index, e), np.searchsorted(index, e, "right")
+                n = right - left
+                places = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - left, n)
+                both = np.bincount(owner[places], minlength=mid - lo)
+                hit = (both >= THRESHOLD * (size[lo:mid] + size[v] - both)) & (comp[lo:mid] != comp[v])
+                for i in np.unique(comp[lo:mid][hit], return_index=True)[1]:
+                    out.append((int(ids[v]), int(ids[lo:mid][hit][i])))
+        a, b = zip(*out, strict=True) if out else ((), ())
+        yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
-        for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-            u, v = x.as_buffer(), y.as_buffer()
+        (x, x_at), (y, y_at) = (_lists(batch.column(i)) for i in (2, 3))
+        for i in range(batch.num_rows):
+            u, v = x[x_at[i] : x_at[i + 1]], y[y_at[i] : y_at[i + 1]]
             both = shared(u, v)
-            if both >= THRESHOLD * ((u.size + v.size) // 8 - both):
+            if both >= THRESHOLD * (len(u) + len(v) - both):
                 keep.append(i)
         yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
@@ -163,71 +198,91 @@ def verify(pairs: DataFrame, elements: DataFrame) -> DataFrame:
     return xy.select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long")
 
 
-def comparable(a: str, b: str):  # noqa: ANN201
-    """Multisets whose sizes differ by more can't be similar enough."""
-    return F.least(a, b) >= F.greatest(a, b) * THRESHOLD
-
-
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (least doc_id of the class), total (shingles): one row per document."""
+    spark = docs.sparkSession
     signed = materialize(sign(docs), "signed")
-    # Repeated ids with different texts must not merge their texts' rows: a representative is the least id of its digest.
     groups = materialize(signed.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("total").alias("total"), F.first("bands").alias("bands")), "groups")
-    single = groups.where("id IS NOT NULL AND total > 0").groupBy("id").agg(F.max("total").alias("total"), F.max_by("bands", F.struct("total", "digest")).alias("bands"), F.max_by("digest", F.struct("total", "digest")).alias("digest"))
+    release(spark)
+    # Where one id has several texts, its richest one stands for it.
+    single = groups.where("id IS NOT NULL AND total > 0").groupBy("id").agg(F.max_by(F.struct("total", "bands"), F.struct("total", "digest")).alias("x")).select("id", "x.*")
     cells = single.select("id", "total", F.explode("bands").alias("bucket"))
-    led = cells.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "total")).alias("leader")).where("n > 1").select("bucket", "leader")
-    members = materialize(cells.join(led, "bucket").select("bucket", "id", "total", F.col("leader.id").alias("leader"), F.col("leader.total").alias("leader_total")), "members")
-    led_by = members.where("id <> leader").where(comparable("total", "leader_total"))
-    first = led_by.groupBy("id").agg(F.min("leader").alias("leader")).select(F.col("id").alias("a"), F.col("leader").alias("b"))
+    led = materialize(cells.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("leader")).where("n > 1").select("bucket", "leader"), "led")
+    release(spark)
+    members = materialize(cells.join(led, "bucket").select("bucket", "id", "total", "leader"), "members")
+    drop(led)
+    release(spark)
+    led_by = members.where("id <> leader")
     wanted = members.select("id").distinct()
     texts = docs.select(docs["doc_id"].cast("long").alias("id"), text_of(docs).alias("text")).where("id IS NOT NULL")
-    elements = materialize(texts.join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_shingled, "id long, elements binary"), "elements")
+    elements = materialize(texts.join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_shingled, "id long, elements array<long>"), "elements")
+    release(spark)
+    first = led_by.groupBy("id").agg(F.min("leader").alias("leader")).select(F.col("id").alias("a"), F.col("leader").alias("b"))
     links = materialize(verify(first, elements), "links")
+    release(spark)
     labels = components(links)
-    compared = materialize(first, "pairs")
-
-    def placed(df: DataFrame, by: str, name: str) -> DataFrame:
-        return df.join(labels.select(F.col("id").alias(by), F.col("component").alias("_c")), by, "left").withColumn(name, F.coalesce("_c", by)).drop("_c")
-
-    def with_links(pairs: DataFrame) -> bool:
-        nonlocal links, labels, compared
-        fresh = materialize(pairs.select("a", "b").distinct().join(compared, ["a", "b"], "left_anti"), "pairs")
-        if not fresh.limit(1).count():
-            return False
-        found = materialize(verify(fresh, elements), "links")
-        compared = compared.union(fresh)
-        if found.limit(1).count():
-            links = links.union(found)
-            labels = components(links)
-        return True
-
-    rest = placed(placed(led_by, "id", "c"), "leader", "d").where("c <> d")
-    with_links(rest.select(F.col("id").alias("a"), F.col("leader").alias("b")))
-    open_ = members.select("bucket", "id", "total")
-    while True:
-        now = placed(open_, "id", "c")
-        mixed = now.groupBy("bucket").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("bucket")
-        open_ = materialize(now.join(mixed, "bucket", "left_semi").select("bucket", "id", "total", "c"), "open")
-        if not open_.limit(1).count():
-            break
-        sizes = open_.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("k"))
-        lead = materialize(_leaders(open_, sizes), "leaders")
-        each = open_.join(lead.select("bucket", F.col("id").alias("l"), F.col("c").alias("lc"), F.col("total").alias("lt")), "bucket")
-        pairs = each.where((F.col("c") != F.col("lc")) & comparable("total", "lt")).select(F.greatest("id", "l").alias("a"), F.least("id", "l").alias("b"))
-        with_links(pairs)
-        open_ = materialize(open_.select("bucket", "id", "total").join(lead.select("bucket", "id"), ["bucket", "id"], "left_anti"), "open")
-    classes = groups.select("digest", "id", "total").join(labels, "id", "left").select("digest", F.coalesce("component", "id").alias("class_id"))
+    rest = placed(placed(led_by, labels, "id", "c"), labels, "leader", "d").where("c <> d").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
+    more = materialize(verify(rest, elements), "links")
+    release(spark)
+    if more.limit(1).count():
+        links = links.union(more)
+        labels = components(links)
+    last = compare_rest(members, labels, elements)
+    if last is not None and last.limit(1).count():
+        labels = components(links.union(last))
+    release(spark)
+    classes = groups.select("digest", "id").join(labels, "id", "left").select("digest", F.coalesce("component", "id").alias("class_id"))
     return signed.select("doc_id", "digest", "total").join(classes, "digest").select("doc_id", "class_id", "total")
 
 
-def _leaders(members: DataFrame, sizes: DataFrame) -> DataFrame:
-    """The ROUND members of each bucket that are least by (size of their component in the bucket, id).
-
-    A bucket's rows are first cut by a hash into 16 parts, each of which keeps its own ROUND least.
-    """
-    m = members.join(sizes, ["bucket", "c"]).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(16)))
-    local = m.withColumn("r", F.row_number().over(Window.partitionBy("bucket", "part").orderBy("k", "id"))).where(F.col("r") <= ROUND)
-    return local.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy("k", "id"))).where(F.col("r") <= ROUND).select("bucket", "id", "c", "total")
+def placed(df: DataFrame, labels: DataFrame, by: str, name: str) -> DataFrame:
+    """``df`` with the component of its column ``by``, which is itself where it has no links."""
+    return df.join(labels.select(F.col("id").alias(by), F.col("component").alias("_c")), by, "left").withColumn(name, F.coalesce("_c", by)).drop("_c")
+
+
+def several(members: DataFrame) -> DataFrame:
+    """The rows of buckets with documents of several components."""
+    mixed = members.groupBy("bucket").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("bucket")
+    return materialize(members.join(mixed, "bucket", "left_semi"), "open")
+
+
+def compare_rest(members: DataFrame, labels: DataFrame, elements: DataFrame) -> DataFrame | None:
+    """Links between documents of different components that share a bucket: step 4. None if there are no such documents."""
+    spark = members.sparkSession
+    open_ = several(placed(members.select("bucket", "id", "total"), labels, "id", "c"))
+    ids = open_.select("id", "total").distinct()
+    said = elements.join(ids, "id", "left_semi").select("id", F.explode("elements").alias("element"))
+    own = said.groupBy("element").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n = 1").groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+    room = ids.join(own, "id", "left").select("id", (F.col("total") - F.coalesce("own", F.lit(0))).alias("room"), "total")
+    able = materialize(room.where(F.col("room") >= F.col("total") * THRESHOLD).select("id", "room"), "able")
+    release(spark)
+    left = several(open_.join(able, "id"))
+    drop(open_, able)
+    release(spark)
+    if not left.limit(1).count():
+        return None
+    largest = left.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket").agg(F.max(F.struct("k", (-F.col("c")).alias("c"))).alias("m")).select("bucket", (-F.col("m.c")).alias("big"))
+    tagged = materialize(left.join(largest, "bucket"), "tagged")
+    drop(left)
+    inside, outside = tagged.where("c = big"), tagged.where("c <> big")
+    crowd = outside.groupBy("bucket").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("bucket")
+    among = outside.join(crowd, "bucket", "left_semi").select(F.lit(1).alias("kind"), F.col("bucket").alias("group"), "id", "c", "room")
+    to_big = lambda df: df.select(F.lit(0).alias("kind"), F.col("big").alias("group"), "id", "c", "room").distinct()
+    role = lambda df, v: df.withColumn("visitor", F.lit(v))
+    rows = materialize(role(to_big(inside), 0).unionByName(role(to_big(outside), 1)).unionByName(role(among, 0)).unionByName(role(among, 1)), "visits")
+    drop(tagged)
+    count = rows.groupBy("kind", "group").agg(F.count_if(F.col("visitor") == 0).alias("b"), F.count_if(F.col("visitor") == 1).alias("v"))
+    sized = rows.join(count, ["kind", "group"]).withColumn("bs", F.ceil(F.col("b") / BLOCK).cast("int")).withColumn("vs", F.ceil(F.col("v") / BLOCK).cast("int"))
+    own_part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    base = sized.where("visitor = 0").withColumn("i", own_part("bs")).withColumn("j", F.explode(every("vs")))
+    visit = sized.where("visitor = 1").withColumn("j", own_part("vs")).withColumn("i", F.explode(every("bs")))
+    cells = base.unionByName(visit).select("kind", "group", "i", "j", "visitor", "id", "c", "room")
+    dealt = cells.join(elements, "id").select("kind", "group", "i", "j", "visitor", "id", "c", "room", "elements")
+    sorted_ = dealt.repartition("kind", "group", "i", "j").sortWithinPartitions("kind", "group", "i", "j", "visitor")
+    links = materialize(sorted_.mapInArrow(_linked, "a long, b long"), "links")
+    release(spark)
+    return links
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
