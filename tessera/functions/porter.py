@@ -1,7 +1,5 @@
 """Porter's stemmer (M. F. Porter, 1980) and the stemmed tokens of a text as an Arrow-batched function."""
 
-from __future__ import annotations
-
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -10,7 +8,6 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import PandasUDFType
 
 # The suffix rules of the published algorithm, by step: suffix, replacement.
 STEP2 = [("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("bli", "ble"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"), ("logi", "log")]
@@ -88,7 +85,6 @@ def _stem_batches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield batch.map(lambda t: tokens(t or ""))
 
 
-def stemmed(text: Column | str) -> Column:
+def stemmed(text: "Column | str") -> Column:
     """The stemmed tokens of a text, in order."""
-    udf = F.pandas_udf(_stem_batches, "array<string>", PandasUDFType.SCALAR_ITER)
-    return udf(text)
+    return F.pandas_udf(_stem_batches, "array<string>")(text)
