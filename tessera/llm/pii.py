@@ -115,7 +115,8 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
             before = BEFORE.search(text[max(0, m.start() - 32) : m.start()])
             word = before[1].lower() if before else ""
             hexed = not s.lower().strip("0123456789abcdef")
-            votes = vote(hexed and len(s) >= 32 or sum(a.isdigit() != b.isdigit() for a, b in zip(s, s[1:], strict=False)) >= 6, s.count("-") + s.count("_") + s.count("/") > 3)
+            parted = s.count("-") + s.count("_") + s.count("/") > 3  # names and paths
+            votes = vote(not parted and (hexed and len(s) >= 32 or sum(a.isdigit() != b.isdigit() for a, b in zip(s, s[1:], strict=False)) >= 6), parted)
             votes += vote(word in ANNOUNCES_SECRET) + vote(bool(before and before[2]), not before) + vote(False, m.start() > 0 and text[m.start() - 1] in "/.")
             out.append((m.start(), 4, m.end(), pattern(4, s, votes)))
     for m in ACCOUNT.finditer(text):
