@@ -102,7 +102,7 @@ def with_lexicon(described_: DataFrame, keep: list[str], lexicon: list[list[str]
 
 def train(docs: DataFrame, labels: DataFrame) -> Classifier:
     wanted = domain_of(labels).orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
-    own = docs.withColumn("_id", docs["doc_id"].cast("long")).join(F.broadcast(wanted), F.col("_id") == F.col("id"))
+    own = docs.select(docs["doc_id"].cast("long").alias("id"), text_of(docs).alias("text")).join(F.broadcast(wanted), "id")
     rows = materialize(described(own, ["id", "domain"]), "sample")
     size = {r["domain"]: r["n"] for r in rows.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(size) < 2:
