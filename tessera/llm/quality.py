@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -167,10 +168,14 @@ def sample_of(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFra
 
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     found = sample_of(docs, labels, most)
-    rows = found.select(F.struct("id", "label").alias("label"), "text").mapInArrow(_features_of, "label struct<id long, label int>, bucket array<int>, value array<double>, stats array<double>").toArrow()
-    rows = sorted(rows.to_pylist(), key=lambda r: (r["label"]["id"], r["bucket"], r["value"]))[: 2 * most]
-    parts = [(np.array(r["bucket"], np.int64), np.array(r["value"], float), np.array(r["stats"], float)) for r in rows]
-    return fit(parts, np.array([r["label"]["label"] for r in rows], float))
+    rows = found.select(F.struct("id", "label").alias("label"), "text").mapInArrow(_features_of, "label struct<id long, label int>, bucket array<int>, value array<double>, stats array<double>").toArrow().combine_chunks()
+    given = pc.struct_field(rows.column("label"), [0]).to_numpy(), pc.struct_field(rows.column("label"), [1]).to_numpy()
+    lists = {c: rows.column(c).combine_chunks() for c in ("bucket", "value", "stats")} if rows.num_rows else {}
+    flat = {c: (x.flatten().to_numpy(), x.offsets.to_numpy() - x.offsets[0].as_py()) for c, x in lists.items()}
+    # In order of id, so that the fit doesn't depend on how rows arrive; a repeated row counts again, up to twice the sample.
+    order = np.argsort(given[0], kind="stable")[: 2 * most]
+    parts = [tuple(x[at[i] : at[i + 1]] for x, at in flat.values()) for i in order]
+    return fit(parts, given[1][order].astype(float))
 
 
 def score(docs: DataFrame, model: Model, name: str = "_score") -> DataFrame:
