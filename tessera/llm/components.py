@@ -16,13 +16,13 @@ def components(links: DataFrame) -> DataFrame:
     Spark splits where one id has very many links.
     """
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    edges = materialize(both, "edges")
-    labels = materialize(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("component")).withColumnRenamed("a", "id"), "labels")
+    edges = materialize(both, "edges", small=True)
+    labels = materialize(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("component")).withColumnRenamed("a", "id"), "labels", small=True)
     while True:
         near = edges.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("component").alias("near"))
         step = labels.join(near.withColumnRenamed("a", "id"), "id").select("id", F.least("component", "near").alias("new"), F.col("component").alias("old"))
         target = labels.select(F.col("id").alias("new"), F.col("component").alias("jump"))
-        moved = materialize(step.join(target, "new", "left").select("id", F.least("new", F.coalesce("jump", "new")).alias("component"), "old"), "labels")
+        moved = materialize(step.join(target, "new", "left").select("id", F.least("new", F.coalesce("jump", "new")).alias("component"), "old"), "labels", small=True)
         labels = moved.select("id", "component")
         if not moved.where("component <> old").limit(1).count():
             return labels

@@ -207,7 +207,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # Where one id has several texts, its richest one stands for it.
     single = groups.where("id IS NOT NULL AND total > 0").groupBy("id").agg(F.max_by(F.struct("total", "bands"), F.struct("total", "digest")).alias("x")).select("id", "x.*")
     cells = single.select("id", "total", F.explode("bands").alias("bucket"))
-    led = materialize(cells.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("leader")).where("n > 1").select("bucket", "leader"), "led")
+    led = materialize(cells.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("leader")).where("n > 1").select("bucket", "leader"), "led", small=True)
     release(spark)
     members = materialize(cells.join(led, "bucket").select("bucket", "id", "total", "leader"), "members")
     drop(led)
@@ -220,16 +220,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = led_by.groupBy("id").agg(F.min("leader").alias("leader")).select(F.col("id").alias("a"), F.col("leader").alias("b"))
     links = materialize(verify(first, elements), "links")
     release(spark)
-    labels = components(links)
-    rest = placed(placed(led_by, labels, "id", "c"), labels, "leader", "d").where("c <> d").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
-    more = materialize(verify(rest, elements), "links")
+    # Each document has at most one link so far, to a lesser id: where two of these lead, without a loop, is enough to see most pairs joined.
+    near = links.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    near = materialize(placed(near.withColumnRenamed("component", "to"), near, "to", "component").select("id", "component"), "near", small=True)
+    rest = placed(placed(led_by, near, "id", "c"), near, "leader", "d").where("c <> d").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
+    more = materialize(verify(rest.join(first, ["a", "b"], "left_anti"), elements), "links")
     release(spark)
-    if more.limit(1).count():
-        links = links.union(more)
-        labels = components(links)
+    labels = components(links.union(more))
     last = compare_rest(members, labels, elements)
     if last is not None and last.limit(1).count():
-        labels = components(links.union(last))
+        # Components of components: the new links are few.
+        between = placed(placed(last, labels, "a", "x"), labels, "b", "y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        joined = components(between)
+        ends = last.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        every = placed(labels.select("id").union(ends).distinct(), labels, "id", "c")
+        labels = materialize(placed(every, joined, "c", "component").select("id", "component"), "labels", small=True)
     release(spark)
     classes = groups.select("digest", "id").join(labels, "id", "left").select("digest", F.coalesce("component", "id").alias("class_id"))
     return signed.select("doc_id", "digest", "total").join(classes, "digest").select("doc_id", "class_id", "total")
@@ -243,7 +248,7 @@ def placed(df: DataFrame, labels: DataFrame, by: str, name: str) -> DataFrame:
 def several(members: DataFrame) -> DataFrame:
     """The rows of buckets with documents of several components."""
     mixed = members.groupBy("bucket").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("bucket")
-    return materialize(members.join(mixed, "bucket", "left_semi"), "open")
+    return materialize(members.join(mixed, "bucket", "left_semi"), "open", small=True)
 
 
 def compare_rest(members: DataFrame, labels: DataFrame, elements: DataFrame) -> DataFrame | None:
@@ -254,7 +259,7 @@ def compare_rest(members: DataFrame, labels: DataFrame, elements: DataFrame) ->
     said = elements.join(ids, "id", "left_semi").select("id", F.explode("elements").alias("element"))
     own = said.groupBy("element").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n = 1").groupBy("id").agg(F.count(F.lit(1)).alias("own"))
     room = ids.join(own, "id", "left").select("id", (F.col("total") - F.coalesce("own", F.lit(0))).alias("room"), "total")
-    able = materialize(room.where(F.col("room") >= F.col("total") * THRESHOLD).select("id", "room"), "able")
+    able = materialize(room.where(F.col("room") >= F.col("total") * THRESHOLD).select("id", "room"), "able", small=True)
     release(spark)
     left = several(open_.join(able, "id"))
     drop(open_, able)
@@ -262,14 +267,14 @@ def compare_rest(members: DataFrame, labels: DataFrame, elements: DataFrame) ->
     if not left.limit(1).count():
         return None
     largest = left.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket").agg(F.max(F.struct("k", (-F.col("c")).alias("c"))).alias("m")).select("bucket", (-F.col("m.c")).alias("big"))
-    tagged = materialize(left.join(largest, "bucket"), "tagged")
+    tagged = materialize(left.join(largest, "bucket"), "tagged", small=True)
     drop(left)
     inside, outside = tagged.where("c = big"), tagged.where("c <> big")
     crowd = outside.groupBy("bucket").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("bucket")
     among = outside.join(crowd, "bucket", "left_semi").select(F.lit(1).alias("kind"), F.col("bucket").alias("group"), "id", "c", "room")
     to_big = lambda df: df.select(F.lit(0).alias("kind"), F.col("big").alias("group"), "id", "c", "room").distinct()
     role = lambda df, v: df.withColumn("visitor", F.lit(v))
-    rows = materialize(role(to_big(inside), 0).unionByName(role(to_big(outside), 1)).unionByName(role(among, 0)).unionByName(role(among, 1)), "visits")
+    rows = materialize(role(to_big(inside), 0).unionByName(role(to_big(outside), 1)).unionByName(role(among, 0)).unionByName(role(among, 1)), "visits", small=True)
     drop(tagged)
     count = rows.groupBy("kind", "group").agg(F.count_if(F.col("visitor") == 0).alias("b"), F.count_if(F.col("visitor") == 1).alias("v"))
     sized = rows.join(count, ["kind", "group"]).withColumn("bs", F.ceil(F.col("b") / BLOCK).cast("int")).withColumn("vs", F.ceil(F.col("v") / BLOCK).cast("int"))

@@ -63,12 +63,12 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch of about ``most`` bytes of text each (a longer text is a part of its own)."""
+def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES, rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most ``rows`` rows and about ``most`` bytes of text each (a longer text is a part of its own)."""
     _, at = buffers(batch.column(column))
     a = 0
     while a < batch.num_rows:
-        b = max(a + 1, int(np.searchsorted(at, at[a] + most, "right")) - 1)
+        b = min(a + rows, max(a + 1, int(np.searchsorted(at, at[a] + most, "right")) - 1))
         yield batch.slice(a, b - a)
         a = b
 
