@@ -30,14 +30,13 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
 
     Candidates are the target and its ever shorter suffixes, each with every ending; the first that is found wins. Duplicates stay.
     """
-    e = imports.withColumn("_id", F.monotonically_increasing_id())
     path = normalized(F.substring("target_ref", 8, 1 << 30), F.substring("source_ref", 6, 1 << 30))
     parts = F.split(path, "/")
     endings = F.array(*map(F.lit, config.IMPORT_SUFFIXES))
     wanted = F.flatten(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.transform(endings, lambda x: F.concat(F.array_join(F.slice(parts, i, F.size(parts)), "/"), x))))
-    pairs = e.select("source_ref", "target_ref").distinct().select("source_ref", "target_ref", F.posexplode(wanted).alias("rank", "suffix"))
+    pairs = imports.select("source_ref", "target_ref").distinct().select("source_ref", "target_ref", F.posexplode(wanted).alias("rank", "suffix"))
     found = pairs.join(suffix_owners(files), "suffix").groupBy("source_ref", "target_ref").agg(F.min_by("owner", "rank").alias("owner"))
-    out = e.join(found, ["source_ref", "target_ref"], "left")
+    out = imports.join(found, ["source_ref", "target_ref"], "left")
     return out.select("source_ref", F.coalesce(F.concat(F.lit("file:"), "owner"), "target_ref").alias("target_ref"), "relation_type", "weight")
 
 
