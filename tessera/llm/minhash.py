@@ -209,7 +209,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     cells = single.select("id", "total", F.explode("bands").alias("bucket"))
     led = materialize(cells.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("leader")).where("n > 1").select("bucket", "leader"), "led", small=True)
     release(spark)
-    members = materialize(cells.join(led, "bucket").select("bucket", "id", "total", "leader"), "members")
+    members = materialize(cells.join(led.hint("merge"), "bucket").select("bucket", "id", "total", "leader"), "members")
     drop(led)
     release(spark)
     led_by = members.where("id <> leader")
@@ -246,9 +246,12 @@ def placed(df: DataFrame, labels: DataFrame, by: str, name: str) -> DataFrame:
 
 
 def several(members: DataFrame) -> DataFrame:
-    """The rows of buckets with documents of several components."""
+    """The rows of buckets with documents of several components.
+
+    Joins by bucket ask for a sort-merge join: Spark splits its large partitions, but not those of a join that it has turned into a broadcast.
+    """
     mixed = members.groupBy("bucket").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("bucket")
-    return materialize(members.join(mixed, "bucket", "left_semi"), "open", small=True)
+    return materialize(members.join(mixed.hint("merge"), "bucket", "left_semi"), "open", small=True)
 
 
 def compare_rest(members: DataFrame, labels: DataFrame, elements: DataFrame) -> DataFrame | None:
@@ -267,7 +270,7 @@ def compare_rest(members: DataFrame, labels: DataFrame, elements: DataFrame) ->
     if not left.limit(1).count():
         return None
     largest = left.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket").agg(F.max(F.struct("k", (-F.col("c")).alias("c"))).alias("m")).select("bucket", (-F.col("m.c")).alias("big"))
-    tagged = materialize(left.join(largest, "bucket"), "tagged", small=True)
+    tagged = materialize(left.join(largest.hint("merge"), "bucket"), "tagged", small=True)
     drop(left)
     inside, outside = tagged.where("c = big"), tagged.where("c <> big")
     crowd = outside.groupBy("bucket").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("bucket")

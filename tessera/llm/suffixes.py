@@ -166,12 +166,14 @@ class SuffixFamily:
         heads = self.matches[0]
         for m in self.matches[1:]:
             heads = heads.union(m)
-        found = every.join(heads.distinct(), "head", "left_semi").groupBy("head", "around").agg(F.sum("n").alias("n"))
+        if len(self.levels) > 1:
+            every = every.groupBy("head", "around").agg(F.sum("n").alias("n"))
+        found = every.join(heads.distinct().hint("merge"), "head", "left_semi")  # alone in its stage, so a hot head's rows can be split
         found = materialize(found, "repeated")
         drop(*self.levels.values(), *self.matches)
         self.levels, self.matches = {}, []
         many = found.groupBy("head").agg(F.count(F.lit(1)).alias("surroundings"))
-        out = materialize(found.join(many, "head"), "repeated")
+        out = materialize(found.join(many.hint("merge"), "head"), "repeated")
         drop(found)
         release(self.spark)
         return out
