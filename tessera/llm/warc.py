@@ -7,6 +7,7 @@
 
 ``read_archive`` reads both back, checks that every stored payload still has its digest, and joins records to
 payloads; ``record_bytes`` rebuilds the original WARC records byte for byte.
+``read_warc`` parses existing WARC files (plain or gzip) into records that ``archive_records`` stores in the same way.
 
 Payloads are digested before anything moves. One aggregation by digest keeps one copy and the largest id of each group;
 it combines copies on the map side, so a payload with millions of copies crosses the network once a task.
@@ -19,6 +20,11 @@ an empty table gives an empty archive; other columns are ignored.
 
 from __future__ import annotations
 
+import gzip
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,13 +58,23 @@ def header_block(r: dict[str, Column]) -> Column:
     )
 
 
+def digested(records: DataFrame) -> DataFrame:
+    """``records`` with the digests and length of their payload."""
+    return records.withColumns({"digest": F.unhex(F.sha2("payload", 256)), "sha1": F.sha1("payload"), "length": F.octet_length("payload").cast("long")})
+
+
+def store_payloads(records: DataFrame, path: str, *more: Column) -> None:
+    """Write each distinct payload of digested records once."""
+    same = (F.min("sha1") == F.max("sha1")) & (F.min("length") == F.max("length"))
+    stored = records.groupBy("digest").agg(*more, F.first("payload").alias("payload"), F.when(same, F.lit(True)).otherwise(F.raise_error(F.lit("unequal payloads with one SHA-256 digest"))).alias("verified"))
+    stored.write.option("compression", "zstd").parquet(f"{path}/payloads")
+
+
 def archive(pages: DataFrame, path: str) -> None:
     """Write ``pages`` (page_id, url, html) as a content-addressed archive at ``path``."""
     body = utf8(F.coalesce(pages["html"].cast("string"), F.lit("")))
-    records = pages.select(pages["page_id"].alias("page_id"), pages["url"].cast("string").alias("url"), body.alias("payload")).withColumns({"digest": F.unhex(F.sha2("payload", 256)), "sha1": F.sha1("payload"), "length": F.octet_length("payload").cast("long")})
-    same = (F.min("sha1") == F.max("sha1")) & (F.min("length") == F.max("length"))
-    stored = records.groupBy("digest").agg(F.max("page_id").alias("winner"), F.first("payload").alias("payload"), F.when(same, F.lit(True)).otherwise(F.raise_error(F.lit("unequal payloads with one SHA-256 digest"))).alias("verified"))
-    stored.write.option("compression", "zstd").parquet(f"{path}/payloads")
+    records = digested(pages.select(pages["page_id"].alias("page_id"), pages["url"].cast("string").alias("url"), body.alias("payload")))
+    store_payloads(records, path, F.max("page_id").alias("winner"))
     winners = pages.sparkSession.read.parquet(f"{path}/payloads").select("digest", "winner")
     placed = records.drop("payload").join(winners, "digest", "left")
     revisit = (F.col("length") >= MIN_REVISIT_BYTES) & (F.col("page_id").isNull() & F.col("winner").isNotNull() | (F.col("page_id") < F.col("winner")))
@@ -95,6 +111,52 @@ def record_bytes(records: DataFrame) -> Column:
     return F.when(header_field(records["header"], "WARC-Type") == "revisit", F.concat(records["header"], end)).otherwise(F.concat(records["header"], records["payload"], end))
 
 
+def parse_warc(data: bytes) -> Iterator[tuple[int, bytes, bytes]]:
+    """Place, header block and payload of each record of a WARC file; gzip members are opened first."""
+    if data[:2] == b"\x1f\x8b":
+        data = gzip.decompress(data)
+    at = 0
+    while at < len(data):
+        cut = data.find(b"\r\n\r\n", at)
+        if cut < 0 or not data.startswith(b"WARC/", at):
+            raise ValueError(f"no WARC record at byte {at}")
+        header = data[at : cut + 4]
+        length = re.search(rb"(?im)^Content-Length:[ \t]*([0-9]+)[ \t]*\r", header)
+        if length is None or cut + 4 + int(length[1]) > len(data):
+            raise ValueError(f"the WARC record at byte {at} has no proper length")
+        end = cut + 4 + int(length[1])
+        yield at, header, data[cut + 4 : end]
+        if data[end : end + 4] != b"\r\n\r\n":
+            raise ValueError(f"the WARC record at byte {at} has no end")
+        at = end + 4
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for name, content in zip(batch.column(0), batch.column(1), strict=True):
+            for place, header, payload in parse_warc(content.as_py()):
+                yield pa.record_batch([pa.array([name.as_py()]), pa.array([place], pa.int64()), pa.array([header], pa.binary()), pa.array([payload], pa.binary())], names=["file", "place", "header", "payload"])
+
+
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """file, place, header and payload of the records of WARC files. A file is read whole, as the reader of binary files does."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(_parsed, "file string, place long, header binary, payload binary")
+
+
+def archive_records(records: DataFrame, path: str) -> None:
+    """Write records (file, place, header, payload) as a content-addressed archive: payloads once, headers as they are."""
+    own = digested(records)
+    store_payloads(own, path)
+    own.select("file", "place", "digest", "header").write.option("compression", "zstd").parquet(f"{path}/headers")
+
+
+def rebuilt(spark: SparkSession, path: str) -> DataFrame:
+    """file, place and record: the bytes of each record of an archive of WARC files."""
+    r = read_archive(spark, path)
+    return r.select("file", "place", F.concat(r["header"], r["payload"], F.lit((CRLF * 2).encode())).alias("record"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_dir(spark, "archive")
     archive(table(spark, sf_dir, "pages"), path)

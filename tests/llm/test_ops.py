@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import random
 import re
@@ -161,6 +162,23 @@ def test_op3_round_trip(spark):
     assert "WARC-Refers-To: <urn:page:9>" in by_id[1]["header"].decode()
 
 
+def test_op3_warc_files_come_back(spark, tmp_path):
+    record = lambda h, p: b"WARC/1.0\r\n" + h + b"Content-Length: %d\r\n\r\n" % len(p) + p + b"\r\n\r\n"
+    raw = record(b"WARC-Type: response\r\n", b"x\r\n\r\ny" * 50) + record(b"X:  odd \r\n", b"") + record(b"", b"x\r\n\r\ny" * 50)
+    (tmp_path / "a.warc").write_bytes(raw)
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(raw[:100]) + gzip.compress(raw[100:]))
+    path = work_dir(spark, "test")
+    warc.archive_records(warc.read_warc(spark, f"{tmp_path}/*.warc*"), path)
+    assert spark.read.parquet(f"{path}/payloads").count() == 2
+    files = defaultdict(bytes)
+    for r in warc.rebuilt(spark, path).orderBy("file", "place").collect():
+        files[r["file"]] += bytes(r["record"])
+    assert list(files.values()) == [raw, raw]
+    for bad in (raw[:-1], raw[:60], b"x" + raw, raw.replace(b"Content-Length", b"Content-Longth")):
+        with pytest.raises(ValueError, match="WARC record"):
+            list(warc.parse_warc(bad))
+
+
 def test_op3_damage_is_noticed(spark):
     path = work_dir(spark, "test")
     spark.createDataFrame([(bytes(32), 1, bytearray(b"x"))], "digest binary, winner long, payload binary").write.parquet(f"{path}/payloads")
