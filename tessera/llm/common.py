@@ -48,19 +48,24 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/tessera/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str, small: bool = False) -> DataFrame:
+def materialize(df: DataFrame, name: str, merge: int = 1) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors.
 
-    ``small`` is for rows of a few numbers: a file holds eight shuffle partitions then, so that files don't become tiny.
+    With ``merge`` k the rows are dealt out anew before they are written, so that a file holds those of k shuffle partitions.
     """
     spark = df.sparkSession
     path = work_dir(spark, name)
-    if small:
-        df = df.coalesce(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
+    if merge > 1:
+        df = df.repartition(max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // merge))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """``materialize`` for tables of a few numbers a row, in few files."""
+    return materialize(df, "kept", merge=32)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a work path that no later result reads."""
     jvm = spark.sparkContext._jvm

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import drop, materialize, release, table, text_of
+from tessera.llm.common import drop, keep, materialize, release, table, text_of
 from tessera.llm.components import components
 from tessera.llm.textnum import U, buffers, by_key, copies, mix, shingles, slices, words
 
@@ -202,31 +202,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (least doc_id of the class), total (shingles): one row per document."""
     spark = docs.sparkSession
     signed = materialize(sign(docs), "signed")
-    groups = materialize(signed.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("total").alias("total"), F.first("bands").alias("bands")), "groups")
+    groups = materialize(signed.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("total").alias("total"), F.first("bands").alias("bands")), "groups", merge=8)
     release(spark)
     # Where one id has several texts, its richest one stands for it.
     single = groups.where("id IS NOT NULL AND total > 0").groupBy("id").agg(F.max_by(F.struct("total", "bands"), F.struct("total", "digest")).alias("x")).select("id", "x.*")
     cells = single.select("id", "total", F.explode("bands").alias("bucket"))
-    led = materialize(cells.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("leader")).where("n > 1").select("bucket", "leader"), "led", small=True)
+    led = materialize(cells.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("leader")).where("n > 1").select("bucket", "leader"), "led", merge=8)
     release(spark)
-    members = materialize(cells.join(led.hint("merge"), "bucket").select("bucket", "id", "total", "leader"), "members")
+    members = materialize(cells.join(led.hint("merge"), "bucket").select("bucket", "id", "total", "leader"), "members", merge=8)
     drop(led)
     release(spark)
     led_by = members.where("id <> leader")
     wanted = members.select("id").distinct()
     texts = docs.select(docs["doc_id"].cast("long").alias("id"), text_of(docs).alias("text")).where("id IS NOT NULL")
-    elements = materialize(texts.join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_shingled, "id long, elements array<long>"), "elements")
-    release(spark)
-    first = led_by.groupBy("id").agg(F.min("leader").alias("leader")).select(F.col("id").alias("a"), F.col("leader").alias("b"))
-    links = materialize(verify(first, elements), "links")
+    elements = materialize(texts.join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_shingled, "id long, elements array<long>"), "elements", merge=8)
     release(spark)
+    first = keep(led_by.groupBy("id").agg(F.min("leader").alias("leader")).select(F.col("id").alias("a"), F.col("leader").alias("b")))
+    links = keep(verify(first, elements))
     # Each document has at most one link so far, to a lesser id: where two of these lead, without a loop, is enough to see most pairs joined.
     near = links.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    near = materialize(placed(near.withColumnRenamed("component", "to"), near, "to", "component").select("id", "component"), "near", small=True)
+    near = keep(placed(near.withColumnRenamed("component", "to"), near, "to", "component").select("id", "component"))
     rest = placed(placed(led_by, near, "id", "c"), near, "leader", "d").where("c <> d").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
-    more = materialize(verify(rest.join(first, ["a", "b"], "left_anti"), elements), "links")
-    release(spark)
+    more = keep(verify(rest.join(first, ["a", "b"], "left_anti"), elements))
     labels = components(links.union(more))
+    drop(first, links, near, more)
+    release(spark)
     last = compare_rest(members, labels, elements)
     if last is not None and last.limit(1).count():
         # Components of components: the new links are few.
@@ -234,9 +234,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         joined = components(between)
         ends = last.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         every = placed(labels.select("id").union(ends).distinct(), labels, "id", "c")
-        labels = materialize(placed(every, joined, "c", "component").select("id", "component"), "labels", small=True)
+        final = placed(every, joined, "c", "component").select("id", "component")
+    else:
+        joined, final = None, labels.select("id", "component")
+    classes = materialize(groups.select("digest", "id").join(final, "id", "left").select("digest", F.coalesce("component", "id").alias("class_id")), "classes", merge=8)
+    drop(groups, members, elements, labels, *(t for t in (last, joined) if t is not None))
     release(spark)
-    classes = groups.select("digest", "id").join(labels, "id", "left").select("digest", F.coalesce("component", "id").alias("class_id"))
     return signed.select("doc_id", "digest", "total").join(classes, "digest").select("doc_id", "class_id", "total")
 
 
@@ -251,7 +254,7 @@ def several(members: DataFrame) -> DataFrame:
     Joins by bucket ask for a sort-merge join: Spark splits its large partitions, but not those of a join that it has turned into a broadcast.
     """
     mixed = members.groupBy("bucket").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("bucket")
-    return materialize(members.join(mixed.hint("merge"), "bucket", "left_semi"), "open", small=True)
+    return keep(members.join(mixed.hint("merge"), "bucket", "left_semi"))
 
 
 def compare_rest(members: DataFrame, labels: DataFrame, elements: DataFrame) -> DataFrame | None:
@@ -262,23 +265,19 @@ def compare_rest(members: DataFrame, labels: DataFrame, elements: DataFrame) ->
     said = elements.join(ids, "id", "left_semi").select("id", F.explode("elements").alias("element"))
     own = said.groupBy("element").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n = 1").groupBy("id").agg(F.count(F.lit(1)).alias("own"))
     room = ids.join(own, "id", "left").select("id", (F.col("total") - F.coalesce("own", F.lit(0))).alias("room"), "total")
-    able = materialize(room.where(F.col("room") >= F.col("total") * THRESHOLD).select("id", "room"), "able", small=True)
-    release(spark)
+    able = room.where(F.col("room") >= F.col("total") * THRESHOLD).select("id", "room")
     left = several(open_.join(able, "id"))
-    drop(open_, able)
-    release(spark)
     if not left.limit(1).count():
+        drop(open_, left)
         return None
     largest = left.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket").agg(F.max(F.struct("k", (-F.col("c")).alias("c"))).alias("m")).select("bucket", (-F.col("m.c")).alias("big"))
-    tagged = materialize(left.join(largest.hint("merge"), "bucket"), "tagged", small=True)
-    drop(left)
+    tagged = keep(left.join(largest.hint("merge"), "bucket"))
     inside, outside = tagged.where("c = big"), tagged.where("c <> big")
     crowd = outside.groupBy("bucket").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("bucket")
     among = outside.join(crowd, "bucket", "left_semi").select(F.lit(1).alias("kind"), F.col("bucket").alias("group"), "id", "c", "room")
     to_big = lambda df: df.select(F.lit(0).alias("kind"), F.col("big").alias("group"), "id", "c", "room").distinct()
     role = lambda df, v: df.withColumn("visitor", F.lit(v))
-    rows = materialize(role(to_big(inside), 0).unionByName(role(to_big(outside), 1)).unionByName(role(among, 0)).unionByName(role(among, 1)), "visits", small=True)
-    drop(tagged)
+    rows = keep(role(to_big(inside), 0).unionByName(role(to_big(outside), 1)).unionByName(role(among, 0)).unionByName(role(among, 1)))
     count = rows.groupBy("kind", "group").agg(F.count_if(F.col("visitor") == 0).alias("b"), F.count_if(F.col("visitor") == 1).alias("v"))
     sized = rows.join(count, ["kind", "group"]).withColumn("bs", F.ceil(F.col("b") / BLOCK).cast("int")).withColumn("vs", F.ceil(F.col("v") / BLOCK).cast("int"))
     own_part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
@@ -288,7 +287,8 @@ def compare_rest(members: DataFrame, labels: DataFrame, elements: DataFrame) ->
     cells = base.unionByName(visit).select("kind", "group", "i", "j", "visitor", "id", "c", "room")
     dealt = cells.join(elements, "id").select("kind", "group", "i", "j", "visitor", "id", "c", "room", "elements")
     sorted_ = dealt.repartition("kind", "group", "i", "j").sortWithinPartitions("kind", "group", "i", "j", "visitor")
-    links = materialize(sorted_.mapInArrow(_linked, "a long, b long"), "links")
+    links = keep(sorted_.mapInArrow(_linked, "a long, b long"))
+    drop(open_, left, tagged, rows)
     release(spark)
     return links
 

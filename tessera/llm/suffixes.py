@@ -146,7 +146,7 @@ class SuffixFamily:
         for level in self.levels.values():
             scan = scan.unionByName(level.select("head", "n", F.lit(0).alias("new")))
         twice = scan.groupBy("head").agg(F.sum("n").alias("n"), F.max("new").alias("new")).where("n > 1 AND new = 1").select("head")
-        self.matches.append(materialize(twice, "matches", small=True))
+        self.matches.append(materialize(twice, "matches", merge=8))
         release(self.spark)
         rank = 0
         while rank in self.levels:
@@ -354,7 +354,7 @@ def repeated_ranges(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     full = found.where("n > 1").select("doc_id", "digest", F.col("first").alias("a"), (F.col("last") + LENGTH).alias("b"))
     # One entry for each surrounding of a head that has several.
     unsure = found.where("surroundings > 1").groupBy("head", "around").agg(F.min(F.struct("doc_id", "digest", "first", "last")).alias("e"), F.first("surroundings").alias("surroundings"))
-    unsure = materialize(unsure.select("head", "e.*", "surroundings", (F.col("surroundings") > CROWD).alias("crowd")), "unsure", small=True)
+    unsure = materialize(unsure.select("head", "e.*", "surroundings", (F.col("surroundings") > CROWD).alias("crowd")), "unsure", merge=8)
     release(spark)
 
     def texts(crowd: bool) -> DataFrame:
