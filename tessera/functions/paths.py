@@ -31,6 +31,25 @@ def language_of(path: Column | str) -> Column:
     return lookup(suffix_of(path), config.LANGUAGES, "text")
 
 
+def character_class(inner: str) -> str:
+    """A shell pattern's [...] without its brackets; ranges that run backwards hold nothing."""
+    negated, inner = inner.startswith("!"), inner.removeprefix("!")
+    quoted = lambda c: c if c.isalnum() or not c.isascii() else "\\" + c
+    items, i = [], 0
+    while i < len(inner):
+        if inner[i + 1 : i + 2] == "-" and i + 2 < len(inner):
+            items += [f"{quoted(inner[i])}-{quoted(inner[i + 2])}"] if inner[i] <= inner[i + 2] else []
+            i += 3
+        else:
+            items.append(quoted(inner[i]))
+            i += 1
+    if not negated and items[:1] == ["\\!"]:  # it came first when a range before it fell away, and Python reads it as a negation then
+        negated, items = True, items[1:]
+    if not items:
+        return "." if negated else "(?!)"
+    return f"[{'^' * negated}{''.join(items)}]"
+
+
 def glob_to_regex(pattern: str) -> str:
     """A shell pattern as a whole-string regular expression; * also crosses slashes."""
     out, i = "", 0
@@ -42,8 +61,7 @@ def glob_to_regex(pattern: str) -> str:
             continue
         close = pattern.find("]", i + 1 + pattern.startswith("!", i)) if c == "[" else -1
         if close > 0:
-            inner = pattern[i:close].replace("\\", "\\\\").replace("[", "\\[").replace("&", "\\&")
-            out += "[" + ("^" + inner[1:] if inner[0] == "!" else "\\" + inner if inner[0] == "^" else inner) + "]"
+            out += character_class(pattern[i:close])
             i = close + 1
         else:
             out += c if c.isalnum() or c in "_/" else "\\" + c
