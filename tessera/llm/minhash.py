@@ -9,16 +9,18 @@ point has a time and a slot out of SLOTS; a slot's value is the identity of its
 the probability of their weighted Jaccard similarity. Points are made in order of time and only up to a bound at which all slots are most likely filled (documents
 with an empty slot double the bound), so a document costs about one point a shingle plus SLOTS * log(SLOTS).
 
-Linking. 1. Documents of the same words are one class, represented by the least id: copies never meet each other again.
+Linking. 1. Documents of the same words are one text with a key of its own, whatever their ids: copies never meet each other again. The search runs on these keys.
 2. Signatures are cut into BANDS bands; classes that agree in a band share a bucket. At a similarity of 0.8 a pair shares none with probability 3e-6.
-3. Each class is verified against its best bucket leader (the least id), then against the leaders of its other buckets unless a component already joins them.
+3. Each class is verified against its best bucket leader (the least key), then against the leaders of its other buckets unless a component already joins them.
 Verification compares the true multisets. 4. In a bucket that still holds several components, every pair of documents of different components is compared:
 those outside the bucket's largest component visit that component's documents, and each other, in blocks of BLOCK x BLOCK documents, whose overlaps come from one
 inverted index a block. A document visits a component once, however many buckets they share. So every pair that shares a bucket is joined or has been compared.
 Documents that have too many shingles which no other open document has are left out of 4: these bound every overlap from above.
 
 Defined results: null text is empty; texts without words have no shingles and are linked only to each other; repeated rows are in one
-class; a null doc_id takes the class of the ids whose words are the same, else null; an empty table gives no rows; other columns are ignored.
+class; texts of rows with a null doc_id are searched like all others, and the texts of a doc_id that has several each have their own class; an empty table gives no rows;
+other columns are ignored. A class is told by class_key, the least digest of its words; its class_id is its least doc_id, null where all are null. Two classes share a
+class_id only where one doc_id has texts in both.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import drop, keep, materialize, release, table, text_of
@@ -115,13 +117,21 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row, key, count = copies(keys, np.repeat(np.arange(n), total))
             bands = band_hashes(signatures(row, key, count, n))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(bands.reshape(-1)))
-            yield pa.record_batch([batch.column(0), pa.array(digest, pa.binary()), pa.array(total), lists], names=["doc_id", "digest", "total", "bands"])
+            out = [batch.column(0), batch.column(2), batch.column(3), pa.array(digest, pa.binary()), pa.array(total), lists]
+            yield pa.record_batch(out, names=["doc_id", "h1", "h2", "digest", "total", "bands"])
+
+
+def row_key(docs: DataFrame) -> list[Column]:
+    """doc_id and two 64-bit hashes of the text: what tells a row from those of other ids or texts."""
+    text = text_of(docs)
+    return [docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("2"), text).alias("h2")]
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """doc_id, digest of the words, number of shingles, band hashes."""
-    d = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    return d.mapInArrow(_signed, "doc_id long, digest binary, total long, bands array<long>")
+    """doc_id, hashes of the text, digest of the words, number of shingles, band hashes."""
+    doc_id, h1, h2 = row_key(docs)
+    d = docs.select(doc_id, text_of(docs).alias("text"), h1, h2)
+    return d.mapInArrow(_signed, "doc_id long, h1 long, h2 long, digest binary, total long, bands array<long>")
 
 
 def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,23 +209,32 @@ def verify(pairs: DataFrame, elements: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (least doc_id of the class), total (shingles): one row per document."""
+    """doc_id, class_id (least doc_id of the class), class_key (hex), total (shingles): one row per document."""
+    return classified(docs).select("doc_id", "class_id", F.lower(F.hex("class_key")).alias("class_key"), "total")
+
+
+def classified(docs: DataFrame) -> DataFrame:
+    """doc_id, h1, h2, digest, total, class_id, class_key: one row per document."""
     spark = docs.sparkSession
     signed = materialize(sign(docs), "signed")
-    groups = materialize(signed.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("total").alias("total"), F.first("bands").alias("bands")), "groups", merge=8)
+    # One row of each text stands for it: the one of the least id, of those the least hashes.
+    row = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h1", "h2")).alias("row")
+    texts = signed.groupBy("digest").agg(row, F.first("total").alias("total"), F.first("bands").alias("bands"))
+    # Numbered in the order of the digests, so that a task that runs again gives the same keys.
+    keyed = texts.sortWithinPartitions("digest").select(F.monotonically_increasing_id().alias("id"), "digest", "row.doc_id", "row.h1", "row.h2", "total", "bands")
+    groups = materialize(keyed, "groups", merge=8)
     release(spark)
-    # Where one id has several texts, its richest one stands for it.
-    single = groups.where("id IS NOT NULL AND total > 0").groupBy("id").agg(F.max_by(F.struct("total", "bands"), F.struct("total", "digest")).alias("x")).select("id", "x.*")
-    cells = single.select("id", "total", F.explode("bands").alias("bucket"))
+    cells = groups.where("total > 0").select("id", "total", F.explode("bands").alias("bucket"))
     led = materialize(cells.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("leader")).where("n > 1").select("bucket", "leader"), "led", merge=8)
     release(spark)
     members = materialize(cells.join(led.hint("merge"), "bucket").select("bucket", "id", "total", "leader"), "members", merge=8)
     drop(led)
     release(spark)
     led_by = members.where("id <> leader")
-    wanted = members.select("id").distinct()
-    texts = docs.select(docs["doc_id"].cast("long").alias("id"), text_of(docs).alias("text")).where("id IS NOT NULL")
-    elements = materialize(texts.join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_shingled, "id long, elements array<long>"), "elements", merge=8)
+    place = [F.coalesce("doc_id", F.lit(0)).alias("at"), "h1", "h2"]
+    wanted = groups.join(members.select("id").distinct(), "id", "left_semi").select("id", *place)
+    said = docs.select(*row_key(docs), text_of(docs).alias("text")).select(*place, "text").join(wanted, ["at", "h1", "h2"]).dropDuplicates(["at", "h1", "h2"])
+    elements = materialize(said.select("id", "text").mapInArrow(_shingled, "id long, elements array<long>"), "elements", merge=8)
     release(spark)
     first = keep(led_by.groupBy("id").agg(F.min("leader").alias("leader")).select(F.col("id").alias("a"), F.col("leader").alias("b")))
     links = keep(verify(first, elements))
@@ -237,10 +256,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         final = placed(every, joined, "c", "component").select("id", "component")
     else:
         joined, final = None, labels.select("id", "component")
-    classes = materialize(groups.select("digest", "id").join(final, "id", "left").select("digest", F.coalesce("component", "id").alias("class_id")), "classes", merge=8)
-    drop(groups, members, elements, labels, *(t for t in (last, joined) if t is not None))
+    found = keep(groups.select("digest", "doc_id", "id").join(final, "id", "left").select("digest", "doc_id", F.coalesce("component", "id").alias("component")))
+    least = found.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.min("digest").alias("class_key"))
+    classes = materialize(found.select("digest", "component").join(least.hint("merge"), "component").select("digest", "class_id", "class_key"), "classes", merge=8)
+    drop(groups, members, elements, labels, found, *(t for t in (last, joined) if t is not None))
     release(spark)
-    return signed.select("doc_id", "digest", "total").join(classes, "digest").select("doc_id", "class_id", "total")
+    return signed.select("doc_id", "h1", "h2", "digest", "total").join(classes, "digest")
 
 
 def placed(df: DataFrame, labels: DataFrame, by: str, name: str) -> DataFrame:

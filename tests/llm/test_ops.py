@@ -87,6 +87,25 @@ def test_op1_cloud_of_near_copies(spark):
     assert got == data.classes(rows) and 2 < len(set(got.values())) < 150
 
 
+def test_op1_every_text_is_searched(spark):
+    """One id with several texts, and rows without id: each text finds its own near copies."""
+    rng = random.Random(11)
+    rich, poor, lone, other = (data.prose(rng, n) for n in (120, 60, 70, 80))
+    near = lambda t, w: " ".join([*t.split(" ")[:-1], w])
+    rows = [(1, rich), (1, poor), (2, poor), (3, near(poor, "x")), (4, near(rich, "y")), (5, other), (None, lone), (None, near(lone, "z")), (None, near(other, "v"))]
+    got = {(r["doc_id"], r["total"], r["class_key"]): r["class_id"] for r in minhash.near_duplicates(data.frame(spark, [(i, t, "en", "s", 1) for i, t in rows])).collect()}
+    members: dict[str, list] = {}
+    for (i, total, key), least in got.items():
+        members.setdefault(key, []).append((i, total, least))
+    tidy = sorted(sorted(map(str, m)) for m in members.values())
+    assert tidy == sorted(sorted(map(str, m)) for m in (
+        [(1, 116, 1), (4, 116, 1)],
+        [(1, 56, 1), (2, 56, 1), (3, 56, 1)],
+        [(5, 76, 5), (None, 76, 5)],
+        [(None, 66, None)],
+    ))
+
+
 def test_op1_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 9, 400), rng.integers(0, 9, 400)
