@@ -315,10 +315,19 @@ def compare_rest(members: DataFrame, labels: DataFrame, elements: DataFrame) ->
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each class (the one of the least id), all columns as they are. Rows without doc_id go: nothing tells their copies apart."""
-    classes = near_duplicates(docs)
-    keep = classes.where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("_k")).distinct()
-    return docs.join(keep, docs["doc_id"].cast("long") == keep["_k"], "left_semi").dropDuplicates(["doc_id"])
+    """One row of each class, all columns as they are: the row of the least id, of those the least digest of words, then the least hashes of the text.
+
+    A class whose rows all lack a doc_id keeps one of them. A doc_id with several unrelated texts keeps one row of each class of which it is the least id. Of rows with
+    equal id and text the least hash of all columns decides (maps can't be hashed and are left out of it).
+    """
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest", "h1", "h2")
+    best = classified(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_key").agg(F.min(rank).alias("r"))
+    place = [F.coalesce("doc_id", F.lit(0)).alias("at"), F.col("doc_id").isNull().alias("no_id"), "h1", "h2"]
+    keep = best.select("r.*").select(*place)
+    order = F.xxhash64(*[F.col("row").getField(c) for c, kind in docs.dtypes if "map<" not in kind])
+    rows = docs.select(*row_key(docs), F.struct(*[docs[c] for c in docs.columns]).alias("row")).select(*place, "row")
+    by = ["at", "no_id", "h1", "h2"]
+    return rows.join(keep, by, "left_semi").groupBy(*by).agg(F.min_by("row", order).alias("row")).select("row.*")
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,6 +81,19 @@ def test_stages_on_hard_cases(spark, folder):
         assert out.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().count() <= docs.count()
 
 
+def test_near_dedup_keeps_a_row_of_each_class(spark, folder):
+    """Unique texts without id stay, as does each text of an id that has several unrelated ones; copies go, whatever the order of the rows."""
+    rng = random.Random(21)
+    a, b, c, d, e = (data.prose(rng, 40 + i) for i in range(5))
+    rows = [(None, a), (None, b), (None, b + " end"), (1, c), (1, d), (2, d), (None, d), (3, e), (3, e)]
+    rows = [(i, t, "en", f"s{k}", len(t)) for k, (i, t) in enumerate(rows)]
+    kept = [[tuple(r) for r in corpus_pipeline.near_dedup(spark, data.frame(spark, some).coalesce(1), folder[0]).collect()] for some in (rows, rows[::-1])]
+    assert sorted(map(str, kept[0])) == sorted(map(str, kept[1]))
+    got = [(r[0], r[1]) for r in kept[0]]
+    assert sorted(map(str, (x for x in got if x[1] not in (b, b + " end")))) == sorted(map(str, [(None, a), (1, c), (1, d), (3, e)]))
+    assert len(got) == 5 and set(kept[0]) <= set(rows)
+
+
 def test_entry_works_without_the_corpus_operators(tmp_path):
     """The rest imports and lists its queries when the folders are gone."""
     for name in ("__spark_entry__.py", "bench.py"):
