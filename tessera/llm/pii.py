@@ -52,8 +52,9 @@ GIVEN_NAMES = frozenset(
 HONORIFICS = "mr mrs ms miss dr prof herr frau monsieur madame señor señora don doña name named called".split()
 
 SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+")
-ACCOUNT = re.compile(r"(?<![A-Za-z0-9+.-])[A-Z]{0,2}[0-9]{8,30}+(?![A-Za-z0-9.])")
-NAME = re.compile(r"\b[A-ZÄÖÜÁÉÍÓÚÑ][a-zäöüßáéíóúñèêç]++ [A-ZÄÖÜÁÉÍÓÚÑ][a-zäöüßáéíóúñèêç]++\b")
+ACCOUNT = re.compile(r"(?<![A-Za-z0-9+.-])[A-Z]{0,2}[0-9]{8,30}+(?!\.?[A-Za-z0-9])")
+# Pairs of capitalised words at every word, also those that overlap: the pair is group 1.
+NAME = re.compile(r"\b(?=([A-ZÄÖÜÁÉÍÓÚÑ][a-zäöüßáéíóúñèêç]++ [A-ZÄÖÜÁÉÍÓÚÑ][a-zäöüßáéíóúñèêç]++\b))")
 BEFORE = re.compile(r"([\w-]+)[\"']?\s*([=:]?)\s*[\"']?$")
 
 
@@ -126,14 +127,14 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
             votes = vote(m[0][:2].isalpha(), len(set(m[0])) < 3) + vote(word in ANNOUNCES_ACCOUNT) + vote(bool(before and before[2]), not (before and before[2])) + vote(False, word not in ANNOUNCES_ACCOUNT)
             out.append((m.start(), 5, m.end(), pattern(5, m[0], votes)))
     for m in NAME.finditer(text):
-        first, second = m[0].lower().split(" ")
+        first, second = m[1].lower().split(" ")
         known = first in GIVEN_NAMES
         before = re.search(r"(\w+)\.?\s*$", text[max(0, m.start() - 16) : m.start()])
         honoured = bool(before) and before[1].lower() in HONORIFICS
         if known or honoured:
             said = Counter(re.findall(r"[^\W\d_]+", text)) if said is None else said
             votes = vote(first != second, first == second) + vote(known, not known) + vote(honoured, not before and m.start() > 0) + vote(False, bool(said[first] or said[second]))
-            out.append((m.start(), 6, m.end(), pattern(6, m[0], votes)))
+            out.append((m.start(1), 6, m.end(1), pattern(6, m[1], votes)))
     return sorted(out)
 
 

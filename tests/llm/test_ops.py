@@ -144,6 +144,19 @@ def test_op2_long_runs_are_linear():
     assert pii.base_spans("a" * 300_000) == [] and pii.base_spans("1" * 300_000) == [] and pii.base_spans("+1" * 100_000) is not None
 
 
+def test_op2_candidates_after_capitals_and_before_full_stops():
+    def found(t: str) -> list[str]:
+        return [t[a:b] for a, _, b, _ in pii.candidates(t, pii.base_spans(t))]
+
+    for t in ("Contact John Smith today", "Mr John Smith said", "Mr. John Smith said", "and John Smith", "Then Contact John Smith"):
+        assert found(t) == ["John Smith"]
+    assert found("Meet Anna Maria Smith") == ["Anna Maria", "Maria Smith"] and found("Dr Xaver Young Said") == ["Xaver Young"]
+    assert found("Plain Words Only") == [] and len(found("John " * 50_000)) == 49_999
+    for t in ("account 1234567890.", "account 1234567890. Then", "account 1234567890"):
+        assert found(t) == ["1234567890"]
+    assert found("account 1234567890.5") == [] and found("account 1234567890a") == [] and found("file 1234567890.txt") == []
+
+
 def test_op2_learns_and_keeps_base(spark):
     key = "token = \"0123456789abcdef0123456789abcdef01234567\""
     rows = [(i, t, "en", "s", 1) for i, t in enumerate([None, "", "é mail me@x.org now", f"so {key} it is", "4532015112830366 and 1.2.3.4", "Plain words only", "path a/b/c-d_e/f-g_h/i-j1k2l3/m"] + [f"{key[:-3]}{i:02d}\"" for i in range(10, 40)])]
