@@ -393,6 +393,15 @@ def test_op8_round_trip(spark):
     assert {c: [(t["role"], t["text"]) for t in r["turns"]] for c, r in got.items()} == turns_of(CHATS)
     assert all([t["loss"] for t in r["turns"]] == [t["role"] == "assistant" for t in r["turns"]] for r in got.values())
     assert "[INST:0:user]hi[/INST]" in got[1]["formatted"] and "<\\/s>" in got[1]["formatted"] and "\\\\" not in got[3]["formatted"]
+    no_raw_controls(got.values())
+
+
+def no_raw_controls(rows) -> None:
+    """Control strings stand only where the template puts them: the start, and the head and end of each turn."""
+    for r in rows:
+        heads = re.findall(r"\[(?:INST|OUT):[01]:[^\]:]*\]", r["formatted"])
+        found = re.findall(r"[<\[]/?(?:s>|INST|OUT)", r["formatted"])
+        assert len(heads) == len(r["turns"]) and len(found) == 1 + 2 * len(heads)
 
 
 @settings(max_examples=15, deadline=None)
@@ -400,8 +409,16 @@ def test_op8_round_trip(spark):
 def test_op8_any_text(spark, texts):
     rows = [(i // 3, i, ("user", "assistant")[i % 2], t) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = {r["conv_id"]: [(t["role"], t["text"]) for t in r["turns"]] for r in chat.read_back(chat.format_conversations(df)).collect()}
-    assert got == turns_of(rows)
+    found = chat.read_back(chat.format_conversations(df)).collect()
+    assert {r["conv_id"]: [(t["role"], t["text"]) for t in r["turns"]] for r in found} == turns_of(rows)
+    no_raw_controls(found)
+
+
+def test_op8_parser_refuses_other_strings(spark):
+    bad = ["", "<s>x", "<s>[INST:0:user]a", "[INST:0:user]a[/INST]", "<s>[INST:0:user]a</s>", "<s>[INST:2:user]a[/INST]", "<s>[SYS:0:user]a[/INST]", "<s>[OUT:0:a:b]x</s>"]
+    good = ["<s>", "<s>[OUT:0:a]x</s>"]
+    df = spark.createDataFrame([(x,) for x in bad + good], "f string").select("f", chat.parse(F.col("f")).alias("p"))
+    assert {r["f"] for r in df.collect() if r["p"] is not None} == set(good)
 
 
 # 9
