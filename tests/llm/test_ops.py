@@ -172,7 +172,7 @@ def test_op2_learns_and_keeps_base(spark):
 
 # 3
 
-PAGES = [(1, "http://a", "x" * 1200), (2, "http://b", "x" * 1200), (9, None, "x" * 1200), (3, "u\r\nv", "short"), (4, "u", "short"), (5, "u", None), (6, "u", ""), (7, "u", "é" * 600), (8, "u", "é" * 600), (9, None, "x" * 1200), (None, "n", "x" * 1200)]
+PAGES = [(1, "http://a", "x" * 1200), (2, "http://b", "x" * 1200), (9, None, "x" * 1200), (3, "u\r\nv", "short"), (4, "u", "short"), (5, "u", None), (6, "u", ""), (7, "u", "é" * 600), (8, "u", "é" * 600), (9, None, "x" * 1200), (None, "n", "x" * 1200), (20, "lóng", "long text \u00e9\r\n\r\n" * 100_000)]
 
 
 def test_op3_round_trip(spark):
@@ -191,7 +191,15 @@ def test_op3_round_trip(spark):
         assert by_id[i]["payload_bytes"] == len(raw) and by_id[i]["sha1"] == hashlib.sha1(raw).hexdigest()  # noqa: S324
         assert bytes(by_id[i]["record"]) == bytes(by_id[i]["header"]) + (b"" if revisit else raw) + b"\r\n\r\n"
         assert revisit == (i in (1, 2, 7, None))
-    assert "WARC-Refers-To: <urn:page:9>" in by_id[1]["header"].decode()
+    heads = [r["header"].decode() for r in rows]
+    ids = [re.search(r"WARC-Record-ID: (\S+)\r\n", h)[1] for h in heads]
+    assert len(set(ids)) == len(rows) and all("WARC-Date: 1970-01-01T00:00:00Z\r\n" in h for h in heads)
+    referred = [re.search(r"WARC-Refers-To: (\S+)\r\n", h)[1] for h in heads if "WARC-Type: revisit" in h]
+    assert set(referred) <= set(ids) and all(x.startswith(("<urn:page:9:", "<urn:page:8:")) for x in referred)
+    # what is read from the rebuilt bytes, also by the parser of files
+    again = warc.parsed_records(records).collect()
+    assert sorted((str(r["page_id"]), bytes(r["payload"])) for r in again) == sorted((str(i), (h or "").encode()) for i, _, h in PAGES)
+    assert [(bytes(h), bytes(p)) for r in rows for _, h, p in warc.parse_warc(bytes(r["record"]))] == [(bytes(r["header"]), b"" if b"Type: revisit" in r["header"] else bytes(r["record"])[len(r["header"]) : -4]) for r in rows]
 
 
 def test_op3_warc_files_come_back(spark, tmp_path):
@@ -213,7 +221,7 @@ def test_op3_warc_files_come_back(spark, tmp_path):
 
 def test_op3_damage_is_noticed(spark):
     path = work_dir(spark, "test")
-    spark.createDataFrame([(bytes(32), 1, bytearray(b"x"))], "digest binary, winner long, payload binary").write.parquet(f"{path}/payloads")
+    spark.createDataFrame([(bytes(32), (1, 1), bytearray(b"x"))], "digest binary, winner struct<page_id:long,number:long>, payload binary").write.parquet(f"{path}/payloads")
     spark.createDataFrame([(1, bytes(32), bytearray(b"h"))], "page_id long, digest binary, header binary").write.parquet(f"{path}/headers")
     with pytest.raises(Exception, match="does not have its digest"):
         warc.read_archive(spark, path).collect()
