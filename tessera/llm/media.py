@@ -1,13 +1,16 @@
 """Media columns in Matroska form.
 
-``encode_media`` stores each document's bytes losslessly as unsigned 8-bit PCM samples in a Matroska file held in a binary
-column; ``packet_table`` parses such a column (variable-length EBML numbers, clusters, lacing, cues) into one row per packet
-with track, timestamp and byte range; ``decode_media`` reads the samples back and computes features.
+``encode_media`` makes of each document's bytes a Matroska file with unsigned 8-bit PCM samples in a binary column, ``store_media`` writes
+that column as a table; ``parse_media`` parses a stored column (variable-length EBML numbers, clusters, lacing, cues) into the packets of each
+file with track, timestamp and byte range, and reads the samples by these ranges; ``packet_table`` has one row per packet;
+``decode_media`` adds the feature, which comes from the packets, clusters, cues and samples.
 
 The parser knows nothing of the writer: it handles no lacing, Xiph, EBML and fixed-size lacing, SimpleBlock and BlockGroup,
 unknown-size segments and clusters, and skips elements it doesn't know. Bytes that end early raise MatroskaError.
 
-Defined results: null text is empty; an empty text is 64 bytes 0; repeated rows give equal values each; an empty table gives no rows.
+Defined results: null text is empty; an empty text is 64 bytes 0; repeated rows and ties give equal values each, also under one doc_id; a null
+doc_id stays null; an empty table gives no rows; other columns are ignored, also those named like columns made here. A very long text is one file of many
+clusters: a row holds it whole, batches are cut by bytes.
 """
 
 from __future__ import annotations
@@ -23,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table, text_of
+from tessera.llm.common import table, text_of, work_dir
+from tessera.llm.textnum import slices
 
 # Element numbers of the published Matroska and EBML specifications (fixed values).
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
@@ -31,7 +35,7 @@ TIMESTAMP_SCALE, DURATION, TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, COD
 AUDIO, SAMPLING_FREQUENCY, CHANNELS, BIT_DEPTH = 0xE1, 0xB5, 0x9F, 0x6264
 CLUSTER_TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0xE7, 0xA3, 0xA0, 0xA1
 CUE_POINT, CUE_TIME, CUE_TRACK_POSITIONS, CUE_TRACK, CUE_CLUSTER_POSITION = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
-DOC_TYPE, DOC_TYPE_VERSION = 0x4282, 0x4287
+DOC_TYPE, DOC_TYPE_VERSION, DOC_TYPE_READ_VERSION, MUXING_APP, WRITING_APP = 0x4282, 0x4287, 0x4285, 0x4D80, 0x5741
 
 PAD = 64
 FRAME = 1024  # bytes of a packet
@@ -89,9 +93,9 @@ def lace_sizes(sizes: list[int]) -> bytes:
 
 def write_matroska(payload: bytes) -> bytes:
     """One PCM track; clusters of up to BLOCKS laced blocks of up to LACE packets; a cue for each cluster."""
-    head = element(EBML, element(DOC_TYPE, b"matroska") + unsigned(DOC_TYPE_VERSION, 4))
+    head = element(EBML, element(DOC_TYPE, b"matroska") + unsigned(DOC_TYPE_VERSION, 4) + unsigned(DOC_TYPE_READ_VERSION, 2))
     duration = len(payload) * 1000 // RATE
-    info = element(INFO, unsigned(TIMESTAMP_SCALE, 1_000_000) + element(DURATION, struct.pack(">d", duration)))
+    info = element(INFO, unsigned(TIMESTAMP_SCALE, 1_000_000) + element(DURATION, struct.pack(">d", duration)) + element(MUXING_APP, b"tessera") + element(WRITING_APP, b"tessera"))
     audio = element(AUDIO, element(SAMPLING_FREQUENCY, struct.pack(">d", RATE)) + unsigned(CHANNELS, 1) + unsigned(BIT_DEPTH, 8))
     tracks = element(TRACKS, element(TRACK_ENTRY, unsigned(TRACK_NUMBER, 1) + unsigned(TRACK_UID, 1) + unsigned(TRACK_TYPE, 2) + element(CODEC_ID, b"A_PCM/INT/LIT") + audio))
     parts, at, cues = [info, tracks], len(info) + len(tracks), []
@@ -263,52 +267,76 @@ def encode_media(docs: DataFrame) -> DataFrame:
     return d.mapInArrow(_encode, "doc_id long, n_bytes long, media binary")
 
 
-def feature_of(payload: bytes, parsed: dict) -> str:
-    """packets:clusters:cues that point at a cluster:duration in ms:mean level:mean step:distinct samples."""
-    x = np.frombuffer(payload, np.uint8)
-    at = dict(parsed["clusters"])
-    good = sum(at.get(position) == time for time, _, position in parsed["cues"])
-    level = int(x.sum(dtype=np.int64)) * 1000 // len(x)
-    step = int(np.abs(np.diff(x.astype(np.int16))).sum(dtype=np.int64)) * 1000 // len(x)
-    return f"{len(parsed['packets'])}:{len(parsed['clusters'])}:{good}:{parsed['duration']:.0f}:{level}:{step}:{np.count_nonzero(np.bincount(x, minlength=256))}"
+def store_media(docs: DataFrame, path: str) -> DataFrame:
+    """Write the media column of ``docs`` and read it back."""
+    encode_media(docs).write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.parquet(path)
 
 
-def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    for batch in batches:
-        rows = []
-        for x, n in zip(batch.column(2), batch.column(1), strict=True):
-            media = x.as_py()
-            parsed = read_matroska(media)
-            payload = b"".join(media[p.start : p.end] for p in parsed["packets"])
-            if len(payload) - n.as_py() not in range(0, PAD + 1):
-                raise MatroskaError("the samples read back are not those stored")
-            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAD:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(payload, parsed)))
-        types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        cols = [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, types, strict=True)]
-        yield pa.record_batch([batch.column(0), batch.column(1), *cols], names=names)
+PACKET = "struct<track:long,timestamp:long,lace:int,byte_start:long,byte_end:long,keyframe:boolean>"
+SAMPLES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, level long, step long, distinct int"
+PARSED = f"doc_id long, n_bytes long, {SAMPLES}, packets array<{PACKET}>, clusters array<struct<position:long,timestamp:long>>, cues array<struct<timestamp:long,track:long,position:long>>, duration double"
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.string(), "double": pa.float64()}
 
 
-def decode_media(media: DataFrame) -> DataFrame:
-    """Per document: sizes, digests and the feature, all from the stored bytes."""
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(_decode, schema)
+def _rows(names: str, values: list[list[tuple]]) -> pa.Array:
+    """A list of structs a row."""
+    at = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
+    fields = [f.split(":") for f in names.split(",")]
+    flat = [x for v in values for x in v]
+    cols = [pa.array([x[i] for x in flat], _ARROW[kind]) for i, (_, kind) in enumerate(fields)]
+    return pa.ListArray.from_arrays(pa.array(at), pa.StructArray.from_arrays(cols, [n for n, _ in fields]))
 
 
-def _packets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "track", "timestamp", "lace", "byte_start", "byte_end", "keyframe"]
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [c.split(" ")[1] for c in SAMPLES.split(", ")]
     for batch in batches:
-        for i, x in zip(batch.column(0), batch.column(1), strict=True):
-            found = read_matroska(x.as_py())["packets"]
-            cols = [pa.array([i.as_py()] * len(found), pa.int64()), *(pa.array(list(c), pa.int64()) for c in list(zip(*found, strict=True))[:5]), pa.array([p.keyframe for p in found])] if found else []
-            if found:
-                yield pa.record_batch(cols, names=names)
+        for part in slices(batch, 2):
+            rows, packets, clusters, cues, duration = [], [], [], [], []
+            for x in part.column(2):
+                media = x.as_py()
+                found = read_matroska(media)
+                payload = b"".join(media[p.start : p.end] for p in found["packets"])
+                y = np.frombuffer(payload, np.uint8)
+                level = int(y.sum(dtype=np.int64)) * 1000 // max(1, len(y))
+                step = int(np.abs(np.diff(y.astype(np.int16))).sum(dtype=np.int64)) * 1000 // max(1, len(y))
+                different = int(np.count_nonzero(np.bincount(y, minlength=256)))
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAD:]), len(media), hashlib.sha256(media).hexdigest(), level, step, different))
+                packets.append(found["packets"])
+                clusters.append(found["clusters"])
+                cues.append(found["cues"])
+                duration.append(found["duration"])
+            cols = [pa.array([r[i] for r in rows], _ARROW[k]) for i, k in enumerate(kinds)]
+            nested = [_rows(PACKET[7:-1], packets), _rows("position:long,timestamp:long", clusters), _rows("timestamp:long,track:long,position:long", cues)]
+            yield pa.record_batch([part.column(0), part.column(1), *cols, *nested, pa.array(duration, pa.float64())], names=[c.split(" ")[0] for c in PARSED.split(", ")])
+
+
+def parse_media(media: DataFrame) -> DataFrame:
+    """Per stored file: digests and levels of its samples, its packets, clusters and cues."""
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(_parse, PARSED)
 
 
 def packet_table(media: DataFrame) -> DataFrame:
-    """One row per packet of a (doc_id, media) table."""
-    return media.select("doc_id", "media").mapInArrow(_packets, "doc_id long, track long, timestamp long, lace long, byte_start long, byte_end long, keyframe boolean")
+    """One row per packet of a (doc_id, n_bytes, media) table."""
+    return parse_media(media).select("doc_id", F.explode("packets").alias("p")).select("doc_id", "p.*")
+
+
+def decode_media(media: DataFrame) -> DataFrame:
+    """Per document: sizes, digests and the feature, all from the stored bytes.
+
+    feature: packets, clusters, cues that point at a cluster, tracks, duration in ms, timestamp of the last packet, mean level, mean step, distinct samples, joined by colons.
+    Packets that don't add up to the text with its padding stop the job.
+    """
+    p = parse_media(media)
+    ranges = F.aggregate("packets", F.lit(0).cast("long"), lambda n, x: n + x["byte_end"] - x["byte_start"])
+    good = F.filter("cues", lambda c: F.exists("clusters", lambda k: (k["position"] == c["position"]) & (k["timestamp"] == c["timestamp"])))
+    tracks = F.array_distinct(F.transform("packets", lambda x: x["track"]))
+    last = F.array_max(F.transform("packets", lambda x: x["timestamp"]))
+    feature = F.concat_ws(":", *[c.cast("string") for c in (F.size("packets"), F.size("clusters"), F.size(good), F.size(tracks), F.col("duration").cast("long"), last, F.col("level"), F.col("step"), F.col("distinct"))])
+    sound = (ranges == F.col("payload_bytes")) & (F.col("payload_bytes") - F.col("n_bytes")).between(0, PAD)
+    said = [F.col(c.split(" ")[0]) for c in SAMPLES.split(", ")[:5]]
+    return p.select("doc_id", "n_bytes", *said, F.when(sound, feature).otherwise(F.raise_error(F.lit("the samples read back are not those stored"))).alias("feature"))
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decode_media(encode_media(table(spark, sf_dir, "documents")))
+    return decode_media(store_media(table(spark, sf_dir, "documents"), work_dir(spark, "media")))

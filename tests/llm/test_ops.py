@@ -255,10 +255,62 @@ def test_op4_parses_other_writers_forms():
             pass
 
 
+#: A file of the samples 0 to 63, taken apart by hand: header, info, track, one cluster with one block, one cue.
+GOLDEN = (
+    "1a45dfa3 93 4282 88 6d6174726f736b61 4287 81 04 4285 81 02"
+    "18538067 40be 1549a966 a6 2ad7b1 83 0f4240 4489 88 4020000000000000 4d80 87 74657373657261 5741 87 74657373657261"
+    "1654ae6b ae ae ac d7 81 01 73c5 81 01 83 81 02 86 8d 415f50434d2f494e542f4c4954 e1 91 b5 88 40bf400000000000 9f 81 01 6264 81 08"
+    "1f43b675 c9 e7 81 00 a3 c4 81 0000 80" + bytes(range(64)).hex() + "1c53bb6b 8d bb 8b b3 81 00 b7 86 f7 81 01 f1 81 5e"
+)
+
+
+def samples_by_hand(raw: bytes) -> bytes:
+    """The samples of a file by a plain walk of its own: sizes by their leading zeros, laces by their text in the specification."""
+
+    def number(at: int, strip: bool) -> tuple[int, int]:
+        bits = f"{raw[at]:08b}"
+        n = bits.index("1") + 1
+        all_bits = "".join(f"{c:08b}" for c in raw[at : at + n])
+        return int(all_bits[n:] if strip else all_bits, 2), at + n
+
+    out, todo = b"", [(0, len(raw))]
+    while todo:
+        at, end = todo.pop()
+        if at >= end:
+            continue
+        name, at = number(at, False)
+        size, at = number(at, True)
+        todo.append((at + size, end))
+        if name in (0x18538067, 0x1F43B675):
+            todo.append((at, at + size))
+        elif name == 0xA3:
+            flags, stop, at = raw[at + 3], at + size, at + 4
+            assert flags in (0x80, 0x86)
+            if flags == 0x86:
+                n, at = raw[at] + 1, at + 1
+                first, at = number(at, True)
+                total, last = first, first
+                for _ in range(n - 2):
+                    width = f"{raw[at]:08b}".index("1") + 1
+                    d, at = number(at, True)
+                    last += d - (2 ** (7 * width - 1) - 1)
+                    total += last
+                assert total <= stop - at
+            out += raw[at:stop]
+    return out
+
+
+def test_op4_bytes_of_the_form():
+    assert media.write_matroska(bytes(range(64))) == bytes.fromhex(GOLDEN)
+    for n in (64, 1024, 1088, 8192, 8256, 131_072, 300_032):
+        payload = bytes(random.Random(n).randbytes(n))
+        assert samples_by_hand(media.write_matroska(payload)) == payload
+
+
 def test_op4_table(spark):
     rows = data.documents()
     got = defaultdict(list)
-    for r in media.decode_media(media.encode_media(data.frame(spark, clash=True))).collect():
+    for r in media.decode_media(media.store_media(data.frame(spark, clash=True).withColumn("packets", F.lit(1)).withColumn("media", F.lit("clash")), work_dir(spark, "test"))).collect():
         got[r["doc_id"]].append(r)
     assert sum(map(len, got.values())) == len(rows)
     for i, t, *_ in rows:
@@ -267,9 +319,25 @@ def test_op4_table(spark):
             p = media.padded(raw)
             r = got[i][0]
             assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(p), sha(p), zlib.crc32(p[-64:]))
-            assert r["media_sha256"] == sha(media.write_matroska(p))
-    packets = media.packet_table(media.encode_media(data.frame(spark, rows[5:6]))).collect()
-    assert packets[0]["byte_end"] > packets[0]["byte_start"] and packets[0]["track"] == 1
+            stored = media.write_matroska(p)
+            assert (r["media_bytes"], r["media_sha256"]) == (len(stored), sha(stored)) and samples_by_hand(stored) == p
+            clusters = -(-len(p) // 131_072)
+            level = sum(p) * 1000 // len(p)
+            step = sum(abs(a - b) for a, b in zip(p, p[1:], strict=False)) * 1000 // len(p)
+            last = (len(p) - 1) // 8192 * 8192 * 1000 // 8000
+            assert r["feature"] == f"{-(-len(p) // 1024)}:{clusters}:{clusters}:1:{len(p) * 1000 // 8000}:{last}:{level}:{step}:{len(set(p))}"
+    long = next(r for r in rows if len(r[1] or "") > 100_000)
+    packets = media.packet_table(media.encode_media(data.frame(spark, [long]))).collect()
+    stored, p = media.write_matroska(media.padded(long[1].encode())), media.padded(long[1].encode())
+    assert b"".join(stored[r["byte_start"] : r["byte_end"]] for r in sorted(packets, key=lambda r: r["byte_start"])) == p
+    assert [(r["timestamp"], r["lace"]) for r in sorted(packets, key=lambda r: r["byte_start"])] == [(i // 8 * 8192 * 1000 // 8000, i % 8) for i in range(len(packets))]
+    assert {r["track"] for r in packets} == {1}
+
+
+def test_op4_damage_is_noticed(spark):
+    stored = media.encode_media(data.frame(spark, [(1, "some text", "en", "s", 1)])).withColumn("n_bytes", F.lit(500).cast("long"))
+    with pytest.raises(Exception, match="not those stored"):
+        media.decode_media(stored).collect()
 
 
 # 5
