@@ -9,7 +9,7 @@ from tessera.llm.minhash import op1_minhash
 from tessera.llm.mixing import op6_mixing
 from tessera.llm.pii import op2_pii
 from tessera.llm.quality import op10_quality
-from tessera.llm.sharding import op7_sharding
+from tessera.llm.sharding import OP7_SQL, op7_sharding
 from tessera.llm.suffixes import op5_suffixes
 from tessera.llm.warc import op3_warc
 
@@ -35,6 +35,7 @@ ORACLE_SQL = {
                CASE WHEN payload_bytes >= 1000 AND page_id < winner THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 1000 AND page_id < winner THEN winner END AS refers_to
         FROM d""",
+    "op7_sharding": OP7_SQL,
     "op8_chat": OP8_SQL,
     "op9_decontamination": OP9_SQL,
 }

@@ -425,8 +425,8 @@ def test_op6_without_labels(spark):
 
 def test_op7_law_slots_and_growth(spark):
     rows = [*data.documents(), *((10_000 + i, "t", "en", "s", 1) for i in range(4000))]
-    out = sharding.shard_documents(data.frame(spark, rows, clash=True).drop("shard", "size"), keep=("lang",)).collect()
-    assert len(out) == len(rows)
+    out = sharding.shard_documents(data.frame(spark, rows, clash=True).withColumns({"slot": F.lit("x"), "_b": F.lit("x"), "law": F.lit("x")}), keep=("lang",)).collect()
+    assert len(out) == len(rows) and {r["law"] for r in out} == {"key"}
     for s in range(24):
         slots = sorted(r["slot"] for r in out if r["shard"] == s)
         assert slots == list(range(len(slots))) and abs(len(slots) - len(rows) / 24) < 60
@@ -444,9 +444,12 @@ def test_op7_weights_move_only_their_subtree(spark):
     heavy = [x if x.shard != 5 else sharding.Leaf(x.region, x.rack, 5, 3.0) for x in tree]
     d = spark.range(20_000).withColumnRenamed("id", "k")
     rows = d.select(sharding.descend(F.col("k"), tree).alias("a"), sharding.descend(F.col("k"), heavy).alias("b")).collect()
-    region = {x.shard: x.region for x in tree}
-    moved = [(r["a"], r["b"]) for r in rows if r["a"] != r["b"]]
-    assert moved and all(region[5] == region[b] for _, b in moved)  # rows move only into the heavier region's subtree, or within it to shard 5's side
+    leaf = {x.shard: x for x in tree}
+    moved = [(leaf[r["a"]], leaf[r["b"]]) for r in rows if r["a"] != r["b"]]
+    # from other regions into the heavier one, from its other racks into the heavier rack, and from that rack's other shard into shard 5
+    assert {x.region != leaf[5].region for x, _ in moved} == {True, False} and all(y.region == leaf[5].region for _, y in moved)
+    assert all(y.rack == leaf[5].rack for x, y in moved if x.region == leaf[5].region)
+    assert all(y.shard == 5 for x, y in moved if x.rack == leaf[5].rack)
     share = Counter(r["b"] for r in rows)[5] / len(rows)
     assert abs(share - 3 / 26) < 0.01
 
