@@ -7,7 +7,7 @@ from tessera.llm.decontamination import OP9_SQL, op9_decontamination
 from tessera.llm.media import op4_media
 from tessera.llm.minhash import op1_minhash
 from tessera.llm.mixing import op6_mixing
-from tessera.llm.pii import op2_pii
+from tessera.llm.pii import BASE_SQL, base_personal_data, op2_pii
 from tessera.llm.quality import op10_quality
 from tessera.llm.sharding import OP7_SQL, op7_sharding
 from tessera.llm.suffixes import op5_suffixes
@@ -24,6 +24,7 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_decontamination": op9_decontamination,
     "op10_quality": op10_quality,
+    "pii_base": base_personal_data,
 }
 
 ORACLE_SQL = {
@@ -35,6 +36,7 @@ ORACLE_SQL = {
                CASE WHEN payload_bytes >= 1000 AND page_id < winner THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 1000 AND page_id < winner THEN winner END AS refers_to
         FROM d""",
+    "pii_base": BASE_SQL,
     "op7_sharding": OP7_SQL,
     "op8_chat": OP8_SQL,
     "op9_decontamination": OP9_SQL,

@@ -6,6 +6,7 @@ import gzip
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -140,13 +141,77 @@ def test_op2_base_spans(parts):
     assert pii.base_spans(t) == base_by_plain_patterns(t)
 
 
-def test_op2_long_runs_are_linear():
-    assert pii.base_spans("a" * 300_000) == [] and pii.base_spans("1" * 300_000) == [] and pii.base_spans("+1" * 100_000) is not None
+@pytest.mark.parametrize("text", ["a" * 300_000, "1" * 300_000, "+1" * 100_000, "1." * 100_000, "a@" * 100_000, "John " * 50_000, "A1" * 150_000, "+1" + "(" * 300_000, "a@" + "b-" * 100_000, "1 " * 100_000])
+def test_op2_long_runs_are_linear(text):
+    began = time.perf_counter()
+    pii.candidates(text, pii.base_spans(text))
+    assert time.perf_counter() - began < 2
+
+
+def test_op2_million_digits_at_once():
+    began = time.perf_counter()
+    assert pii.base_spans("7" * 1_000_000 + " 1.2.3.4") == [(1_000_001, 1, 1_000_008)]
+    assert time.perf_counter() - began < 1
+
+
+def test_op2_query_counts_by_kind(spark, tmp_path):
+    texts = ["a@b.c, then 1.2.3.4 and 4532015112830366", "+1 (555) 123-4567 a@b.c x@y.z", "1.2.3.4", None, ""]
+    data.frame(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)], clash=True).withColumns({"base": F.lit(1), "spans": F.lit(2), "extra": F.lit(3)}).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in pii.op2_pii(spark, str(tmp_path)).collect()}
+    assert [tuple(got[i][f"n_{k}"] for k in pii.KINDS[: pii.BASE]) for i in range(5)] == [(1, 1, 1, 0), (2, 0, 0, 1), (0, 1, 0, 0), (0, 0, 0, 0), (0, 0, 0, 0)]
+    for i, t in enumerate(texts):
+        listed = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in base_by_plain_patterns(t or ""))
+        assert got[i]["base_sha256"] == sha(listed.encode()) and got[i]["n_spans"] == got[i]["spans"].count(":") // 2
+
+
+def personal_sentences(seed: int, n: int) -> list[tuple[str, list[tuple[str, str]], list[str]]]:
+    """Texts with personal data (kind, span) and look-alikes that are none. Names, words before and shapes are dealt anew each time."""
+    rng = random.Random(seed)
+    pick = lambda xs: rng.choice(sorted(xs))
+    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    hexes = lambda k: "".join(rng.choice("0123456789abcdef") for _ in range(k))
+    mixed = lambda k: "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz0123456789") for _ in range(k)) + "7q"
+    out = []
+    for _ in range(n):
+        kind, said = rng.randrange(6), data.prose(rng, rng.randint(3, 20))
+        more = data.prose(rng, rng.randint(3, 20))
+        if kind == 0:
+            s = hexes(40) if rng.random() < 0.5 else rng.choice(["ghp_", "sk_live_", ""]) + mixed(30)
+            out.append((f'{said} {pick(pii.ANNOUNCES_SECRET)}{rng.choice([" = ", ": ", "="])}"{s}" {more}', [("secret", s)], []))
+        elif kind == 1:
+            s = f"{rng.choice(['lib', 'usr', 'src'])}/{rng.choice(['share', 'local'])}/{rng.choice(['mod-1', 'pkg_2'])}/{rng.choice('abc')}{digits(2)}/read_me-{digits(1)}"
+            out.append((f"{said} see {s} {more}", [], [s]))
+        elif kind == 2:
+            s = digits(rng.randint(9, 13))
+            out.append((f"{said} {pick(pii.ANNOUNCES_ACCOUNT)}: {s} {more}", [("account", s)], []))
+        elif kind == 3:
+            s = digits(rng.randint(9, 13))
+            out.append((f"{said} {s} {more}", [], [s]))
+        elif kind == 4:
+            s = f"{pick(pii.GIVEN_NAMES).title()} {pick(pii.SURNAMES).title() if rng.random() < 0.5 else 'Q' + ''.join(rng.choice('aeiourstln') for _ in range(6))}"
+            out.append((f"{said} {rng.choice(['Mr. ', 'with ', 'and Dr '])}{s} {rng.choice(['said', 'wrote', 'lives in'])} {more}", [("name", s)], []))
+        else:
+            word = pick(pii.SURNAMES)
+            out.append((f"{said} The {word.title()} {word} {word} {more}", [], [f"The {word.title()}"]))
+    return out
+
+
+def test_op2_precision_and_recall(spark):
+    """Spans found in texts whose personal data are known; the figures of the README come from here."""
+    found = personal_sentences(1, 1500)
+    rows = [(i, t, "en", "s", 1) for i, (t, _, _) in enumerate(found)]
+    got = {r["doc_id"]: [(pii.KINDS[s["kind"]], rows[r["doc_id"]][1][s["start"] : s["end"]]) for s in r["spans"]] for r in pii.find_personal_data(data.frame(spark, rows)).collect()}
+    for kind in ("secret", "account", "name"):
+        true = [(i, s) for i, (_, spans, _) in enumerate(found) for k, s in spans if k == kind]
+        said = [(i, s) for i, spans in got.items() for k, s in spans if k == kind]
+        both = len(set(true) & set(said))
+        print(kind, "precision", round(both / len(said), 3), "recall", round(both / len(true), 3), len(true))
+        assert both >= 0.9 * len(said) and both >= 0.9 * len(true)
 
 
 def test_op2_candidates_after_capitals_and_before_full_stops():
     def found(t: str) -> list[str]:
-        return [t[a:b] for a, _, b, _ in pii.candidates(t, pii.base_spans(t))]
+        return [t[a:b] for a, _, b, *_ in pii.candidates(t, pii.base_spans(t))]
 
     for t in ("Contact John Smith today", "Mr John Smith said", "Mr. John Smith said", "and John Smith", "Then Contact John Smith"):
         assert found(t) == ["John Smith"]
