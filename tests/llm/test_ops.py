@@ -463,9 +463,9 @@ def test_op6_meets_targets_like_numpy(spark):
     truth = {i: f"q{q}t{x}" for i, q, x in labels}
     assert np.mean([names[np.argmax(r["p"])] == truth[r["doc_id"]] for r in rows]) > 0.97
     assert np.allclose(p.sum(1), 1)
-    rate = np.ones(len(rows))
-    for s in fitted.steps:  # the same steps by plain arithmetic
-        rate = np.clip(rate - p @ np.array(s), 0, mixing.MAX_RATE)
+    rate = last = np.ones(len(rows))
+    for momentum, *s in fitted.steps:  # the same steps by plain arithmetic
+        rate, last = np.clip(rate + momentum * (rate - last) - p @ np.array(s), 0, mixing.MAX_RATE), rate
     assert np.allclose(rate, [r["rate"] for r in rows])
     have = (rate * t) @ p
     goal = np.array([mixing.TARGETS[k] for k in names])
@@ -473,10 +473,43 @@ def test_op6_meets_targets_like_numpy(spark):
     once = mixing.mix(d.withColumn("_n", F.lit(1)).withColumn("row", F.lit(2)), lab, most=1.0)
     assert once.columns == [*d.columns, "_n", "row"] and once.groupBy("doc_id").count().where("count > 1").count() == 0
     again = [r["doc_id"] for r in mixing.mix(d, lab).collect()]
-    copies = {r["doc_id"]: r["n"] for r in scored.select("doc_id", mixing.copies_of(fitted.rate(), F.col("doc_id")).alias("n")).collect()}
+    copies = {r["doc_id"]: r["n"] for r in scored.select("doc_id", mixing.copies_of(fitted.rate(), F.col("doc_id"), F.col("digest")).alias("n")).collect()}
     assert Counter(again) == {k: n for k, n in copies.items() if n}
 
 
+@pytest.mark.parametrize("most", [4.0, 1.0])
+def test_op6_fit_is_as_good_as_coordinate_descent(spark, most):
+    """Overlapping posteriors, against a solver of another kind that holds the whole problem: exact steps one rate at a time."""
+    rng = np.random.default_rng(3)
+    p = rng.dirichlet([2.0, 0.7, 0.4], 150)
+    t = rng.integers(1, 200, 150).astype(float)
+    names, targets = ["a", "b", "c"], {"a": 0.6, "b": 0.1, "c": 0.3}
+    fitted = mixing.Mixture(mixing.Classifier(names, [], [], [], []), most)
+    scored = spark.createDataFrame([(int(n), x.tolist()) for n, x in zip(t, p, strict=True)], "tokens long, p array<double>")
+    mixing.fit_rates(scored, fitted, targets, "a", iterations=400)
+    rate = np.array([r["rate"] for r in scored.withColumn("rate", fitted.rate()).collect()])
+    start = t @ p
+    goal = start[0] / targets["a"] * np.array([targets[n] for n in names])
+    loss = lambda r: 0.5 * (((r * t) @ p - goal) ** 2 / start).sum()
+    a, own = (t[:, None] * p) / np.sqrt(start), np.ones(150)
+    left = own @ a - goal / np.sqrt(start)
+    for _ in range(3000):
+        for d in range(150):
+            new = np.clip(own[d] - left @ a[d] / (a[d] @ a[d]), 0, most)
+            left += (new - own[d]) * a[d]
+            own[d] = new
+    assert fitted.converged and (0 <= rate).all() and (rate <= most).all()
+    assert loss(rate) <= loss(own) * 1.001
+    have = (rate * t) @ p
+    assert np.allclose([fitted.missing[n] for n in names], (have - goal) / goal.sum(), atol=1e-6)
+
+
+def test_op6_null_ids_draw_for_themselves(spark):
+    d = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.xxhash64("id").alias("digest"))
+    share = d.select(F.avg(mixing.copies_of(F.lit(0.3), F.col("doc_id"), F.col("digest")))).first()[0]
+    assert abs(share - 0.3) < 0.04
+
+
 def test_op6_without_labels(spark):
     lab = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     rows = data.documents()
