@@ -45,8 +45,13 @@ def overlap(found: Column, query: Counter[str]) -> Column:
     total = sum(query.values())
     if not total:
         return F.lit(0.0)
-    shared = [F.least(F.lit(n), occurrences(found, t)) for t, n in query.items()]
-    return sum(shared[1:], shared[0]).cast("double") / F.lit(float(total))
+
+
+    def score(terms: Column) -> Column:
+        shared = [F.least(F.lit(n), occurrences(terms, t)) for t, n in query.items()]
+        return sum(shared[1:], shared[0]).cast("double") / F.lit(float(total))
+
+    return F.get(F.transform(F.array(found), score), F.lit(0))  # binds the terms, which would be found anew for each query term otherwise
 
 
 def token_estimate(text: Column | str) -> Column:

@@ -42,7 +42,7 @@ def python_symbols(path: str, text: str) -> list[Symbol]:
     """Functions and classes at any depth, in order of line and name; text that doesn't parse has its headings."""
     try:
         tree = ast.parse(text)
-    except (SyntaxError, ValueError):
+    except (SyntaxError, ValueError, RecursionError, MemoryError):  # the last two: nested too deeply
         return headings(path, text)
     found = []
     for node in ast.walk(tree):

@@ -42,7 +42,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     session.reach_package(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return session.spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int = 8, memory: str = "8g") -> SparkSession:
@@ -30,3 +30,18 @@ def reach_package(spark: SparkSession) -> None:
     env, home = spark.sparkContext.environment, str(Path(__file__).resolve().parents[1])
     if home not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [home, env.get("PYTHONPATH")]))
+
+
+#: Bytes of a file that are worth a task of their own.
+SPREAD_BYTES = 1 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` as it is, or dealt over all cores where its files give fewer tasks than there are cores though they are large enough.
+
+    A file of one row group can't be split by the reader. Large inputs have many files and are never dealt anew.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    worth = min(cores, size // SPREAD_BYTES)
+    return df.repartition(worth) if size <= cores << 28 and 1 < worth and df.rdd.getNumPartitions() < worth else df
