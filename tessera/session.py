@@ -42,6 +42,6 @@ def spread(df: DataFrame) -> DataFrame:
     A file of one row group can't be split by the reader. Large inputs have many files and are never dealt anew.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     worth = min(cores, size // SPREAD_BYTES)
     return df.repartition(worth) if size <= cores << 28 and 1 < worth and df.rdd.getNumPartitions() < worth else df
