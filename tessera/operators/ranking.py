@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera import config
 from tessera.functions import text
+from tessera.functions.numbers import rounded
 from tessera.functions.paths import lookup
 
 
@@ -84,10 +85,10 @@ def term_score(tf: Column, length: Column, n: int, mean: float, found: int) -> C
     return F.lit(idf(n, found)) * (tf * (k + 1.0)) / (tf + k * (1.0 - b + b * length / F.lit(mean or 1.0)))
 
 
-def postings(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
-    """term, ref, tf, length: to be written sorted by term, so that a query reads only its terms' row groups."""
-    each = docs.select("ref", F.size(tokens).alias("length"), F.explode(tokens).alias("term"))
-    return each.groupBy("term", "ref", "length").agg(F.count(F.lit(1)).alias("tf"))
+def postings(docs: DataFrame, *keep: str, tokens: str = "tokens") -> DataFrame:
+    """term, ref, tf, length and the columns in ``keep``: to be written sorted by term, so that a query reads only its terms' row groups."""
+    each = docs.select("ref", *keep, F.size(tokens).alias("length"), F.explode(tokens).alias("term"))
+    return each.groupBy("term", "ref", "length", *keep).agg(F.count(F.lit(1)).alias("tf"))
 
 
 def bm25_from_postings(found: DataFrame, query: list[str], n: int, mean: float) -> DataFrame:
@@ -118,5 +119,5 @@ def locate_score(bare: str, leaf: str, name: Column, path: Column, signature: Co
         suffix = F.lit(0.7)
     else:
         hit = added([said.contains(p.lower()).cast("double") for p in parts[:-1]])
-        suffix = F.round(F.lit(0.6) + F.lit(0.4) * hit / float(len(parts) - 1), 3)
+        suffix = rounded(F.lit(0.6) + F.lit(0.4) * hit / float(len(parts) - 1))
     return F.when(name == bare, 1.0).when(name.endswith(f".{leaf}"), suffix).otherwise(F.lit(0.5))

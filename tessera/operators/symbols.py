@@ -207,4 +207,5 @@ def symbols_of(scanned: DataFrame) -> DataFrame:
 
 
 def references_of(scanned: DataFrame) -> DataFrame:
-    return scanned.select(F.inline("edges")).select("source_ref", "target_ref", F.lit("references").alias("relation_type"), F.lit(0.6).alias("weight"))
+    """Edges among the symbols of a file, with its path."""
+    return scanned.select("path", F.inline("edges")).select("path", "source_ref", "target_ref", F.lit("references").alias("relation_type"), F.lit(0.6).alias("weight"))

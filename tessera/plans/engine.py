@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 
 from tessera import __version__, config
 from tessera.functions import paths, text
+from tessera.functions.numbers import rounded
 from tessera.functions.porter import stemmed, tokens
 from tessera.operators import budget, features, graph, memory, merge, ranking, symbols, vector
 from tessera.operators.features import first_rows
 from tessera.session import reach_package
 from tessera.sources import capture as notes
 from tessera.sources import tree
-from tessera.store import Store
+from tessera.store import Store, Tables, bucket_of
 
 HIT = ["ref", "path", "name", "kind", "role", "language", "score", "summary"]
 
@@ -35,9 +36,10 @@ def plain(rows: list) -> list[dict]:
 class Engine:
     """One tree. ``encoder`` (texts -> unit vectors) turns semantic scores on; without it they are 0."""
 
-    def __init__(self, spark: SparkSession, root: str, encoder: vector.Encoder | None = None, model: str = "default", clock=now) -> None:  # noqa: ANN001
+    def __init__(self, spark: SparkSession, root: str | Tables, encoder: vector.Encoder | None = None, model: str = "default", clock=now) -> None:  # noqa: ANN001
         reach_package(spark)
-        self.spark, self.store, self.encoder, self.model, self.clock = spark, Store(spark, root), encoder, model, clock
+        store = root if isinstance(root, Tables) else Store(spark, root)
+        self.spark, self.store, self.encoder, self.model, self.clock = spark, store, encoder, model, clock
 
     @property
     def policy(self) -> config.Policy:
@@ -47,75 +49,81 @@ class Engine:
 
     def index(self) -> dict[str, Any]:
         began = time.perf_counter()
-        names = list(tree.listed(self.store.root, self.policy))
-        contents = tree.read_files(self.spark, self.store.root, names)
-        self._write(contents)
-        indexed = self.store.read("files").count()
-        self.store.set_meta(last_indexed_at=self.clock(), schema_version=config.SCHEMA_VERSION, repo_root=str(self.store.root))
-        self.store.clear_cache()
-        self.store.write_version("tessera", __version__)
+        with self.store.writing():
+            names = list(tree.listed(self.store.root, self.policy))
+            fresh = tree.read_files(self.spark, self.store.root, names)
+            self._take_in(fresh, merge.missing(self.store.read("files"), fresh, "path"))
+            indexed = self.store.read("files").count()
+            self.store.set_meta(last_indexed_at=self.clock(), schema_version=config.SCHEMA_VERSION, repo_root=str(self.store.root))
+            self.store.clear_cache()
+            self.store.write_version("tessera", __version__)
         return {"repo_root": str(self.store.root), "indexed_files": indexed, "skipped_files": len(names) - indexed, "state_dir": str(self.store.state), "db_path": str(self.store.state / "manifest.json"), "elapsed_ms": ms(began)}
 
     def refresh(self, changed: list[str] | None = None) -> dict[str, Any]:
         """Take in the given files, or all. The result is that of a full index of the tree as the index knows it then.
 
-        Given files are held against the admission rules only. Edges come from whole files, so a refresh never loses any.
+        Given files are held against the admission rules only. Only files of another hash are parsed, and only their buckets of the tables are rewritten;
+        edges are resolved anew from all files' stored imports, so a refresh never loses any.
         """
         began = time.perf_counter()
-        old = self.store.read("contents")
-        if changed is None:
-            fresh = tree.scan(self.spark, self.store.root, self.policy)
-            gone = merge.missing(old, fresh, "path")
-            contents, updated = fresh, fresh.count()
-        else:
-            asked = self.spark.createDataFrame([(p.removeprefix("./"),) for p in dict.fromkeys(changed)], "path string")
-            fresh = tree.read_files(self.spark, self.store.root, [r["path"] for r in asked.collect()])
-            gone = merge.missing(asked, fresh, "path").join(old.select("path"), "path", "left_semi")
-            contents, updated = old.join(asked, "path", "left_anti").unionByName(fresh), fresh.count()
-        deleted = gone.count()
-        self._write(contents)
-        self.store.set_meta(last_refreshed_at=self.clock())
-        self.store.clear_cache()
+        with self.store.writing():
+            known = self.store.read("files").select("path")
+            if changed is None:
+                fresh = tree.scan(self.spark, self.store.root, self.policy)
+                gone = merge.missing(known, fresh, "path")
+            else:
+                names = [p.removeprefix("./") for p in dict.fromkeys(changed)]
+                fresh = tree.read_files(self.spark, self.store.root, names)
+                asked = self.spark.createDataFrame([(n,) for n in names], "path string")
+                gone = merge.missing(asked, fresh, "path").join(known, "path", "left_semi")
+            updated, deleted = self._take_in(fresh, gone)
+            self.store.set_meta(last_refreshed_at=self.clock())
+            self.store.clear_cache()
         return {"repo_root": str(self.store.root), "updated_files": updated, "deleted_files": deleted, "state_dir": str(self.store.state), "elapsed_ms": ms(began)}
 
-    def _write(self, contents: DataFrame) -> None:
-        self.store.write(contents=contents)
-        contents = self.store.read("contents")
-        scanned = symbols.scan_symbols(contents, self.policy)
-        self.store.write(scanned=scanned)
-        scanned = self.spark.read.parquet(str(self.store.state / self.store.manifest["tables"]["scanned"]))
-        own = symbols.symbols_of(scanned)
-        files = features.file_features(contents, self.policy, self.clock())
-        merged = merge.upsert(self.store.read("files"), files, "path", "hash")
-        files = merge.delete_missing(merged, contents, "path")
-        edges = graph.resolve_imports(features.imports_of(contents), files).unionByName(symbols.references_of(scanned))
-        self.store.write(files=files, symbols=own, chunks=features.chunks_of(contents, own), relations=edges)
-        self.store.write(subsystems=features.subsystems_of(self.store.read("files"), self.store.read("symbols")))
-        self._write_words()
+    def _take_in(self, fresh: DataFrame, gone: DataFrame) -> tuple[int, int]:
+        """Put the files of ``fresh`` (path, text) into the index and take those of ``gone`` out. How many were looked at, and how many left.
+
+        Files whose hash is stored already keep their rows and are not parsed.
+        """
+        store, seen = self.store, fresh.withColumn("hash", F.sha2("text", 256))
+        with store.staged("fresh", seen) as seen, store.staged("gone", gone) as gone:
+            known = store.read("files").select("path", "hash")
+            changed = seen.join(known, ["path", "hash"], "left_anti").select("path", "text")
+            out = changed.select("path").unionByName(gone.select("path")).distinct()
+            touched = sorted(r["b"] for r in out.select(bucket_of("path").alias("b")).distinct().collect())
+            updated, deleted = seen.count(), gone.count()
+            if touched:
+                with store.staged("scanned", symbols.scan_symbols(changed, self.policy)) as scanned:
+                    own = symbols.symbols_of(scanned)
+                    new = {
+                        "contents": changed, "files": features.file_features(changed, self.policy, self.clock()), "symbols": own, "chunks": features.chunks_of(changed, own),
+                        "imports": features.imports_of(changed).withColumn("path", F.substring("source_ref", 6, 1 << 30)),
+                        "mentions": symbols.references_of(scanned),
+                    }
+                    with store.staged("words", words_of(new["files"], own, new["chunks"])) as said:
+                        new["postings"] = ranking.postings(said, "of", "path")
+                        new["lengths"] = said.select("ref", "of", F.size("tokens").alias("length"), "path")
+                        kept = {n: store.read(n, touched).join(out, "path", "left_anti") for n in new}
+                        store.replace_buckets(touched, {"postings": "term"}, **{n: kept[n].unionByName(rows.select(kept[n].columns)) for n, rows in new.items()})
+        if touched or "relations" not in store.manifest["tables"]:
+            files = store.read("files")
+            edges = graph.resolve_imports(store.read("imports").drop("path"), files).unionByName(store.read("mentions").drop("path"))
+            store.write(relations=edges, subsystems=features.subsystems_of(files, store.read("symbols")))
         self._embed()
+        return updated, deleted
 
-    def _write_words(self) -> None:
-        """Stemmed words of files, symbols and chunks, for full-text scores."""
-        files, own, chunks = (self.store.read(t) for t in ("files", "symbols", "chunks"))
-        parts = [
-            files.select(F.concat(F.lit("file:"), "path").alias("ref"), F.lit("file").alias("of"), F.concat_ws(" ", "summary", "role", "language").alias("t")),
-            own.select(F.col("symbol_id").alias("ref"), F.lit("symbol").alias("of"), F.concat_ws(" ", "name", "kind", "summary").alias("t")),
-            chunks.select(F.concat(F.lit("chunk:"), "chunk_id").alias("ref"), F.lit("chunk").alias("of"), F.col("text").alias("t")),
-        ]
-        every = parts[0].unionByName(parts[1]).unionByName(parts[2])
-        self.store.write(words=every.select("ref", "of", stemmed("t").alias("tokens")))
-
-    def _words(self, of: str) -> DataFrame:
-        folder = self.store.manifest["tables"].get("words")
-        rows = self.spark.read.parquet(str(self.store.state / folder)) if folder else self.spark.createDataFrame([], "ref string, of string, tokens array<string>")
-        return rows.where(F.col("of") == of)
+    def _bm25(self, of: str, words: list[str]) -> DataFrame:
+        """ref, bm25 of the files or symbols that hold a word, from the stored postings: row groups of other terms are not read."""
+        size = self.store.read("lengths").where(F.col("of") == of).agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).first()
+        return ranking.bm25_from_postings(self.store.read("postings").where(F.col("of") == of), words, size["n"], size["mean"] or 0.0)
 
     # Vectors
 
     def _embed(self) -> None:
         if self.encoder is None:
             return
-        f, s, u, m = (self.store.read(t) for t in ("files", "symbols", "subsystems", "memories"))
+        f, s, u, m = (*(self.store.read(t) for t in ("files", "symbols", "subsystems")), self._memories())
         named = lambda df, ref, *said: df.select(ref.alias("ref"), F.concat_ws(" ", *said).alias("text"))
         wanted = named(f, F.concat(F.lit("file:"), "path"), "path", "summary").unionByName(named(s, F.col("symbol_id"), "name", "kind", "summary")).unionByName(named(u, F.concat(F.lit("subsystem:"), "name"), "name", "summary")).unionByName(named(m, F.concat(F.lit("memory:"), F.col("memory_id").cast("string")), "title", "summary"))
         stored = self.store.read("embeddings")
@@ -161,7 +169,7 @@ class Engine:
         asked, second = text.query_terms(query), self.policy.ranking_v2
         at = F.lit(self.clock()).cast("timestamp")
         words = tokens(" ".join(text.query_words(query)))
-        full = ranking.bm25(self._words("file"), words).unionByName(ranking.bm25(self._words("symbol"), words)).select("ref", "bm25")
+        full = self._bm25("file", words).unionByName(self._bm25("symbol", words))
         full = ranking.normalized(full.where("bm25 > 0"), "bm25")
         semantic = self._semantic(query)
 
@@ -182,11 +190,11 @@ class Engine:
         base = text.overlap(text.terms(F.concat_ws(" ", "name", "summary")), asked) + config.SEMANTIC_WEIGHT * F.coalesce("semantic", F.lit(0.0))
         one = F.lit("subsystem")
         u = u.withColumn("base", base).where("base > 0").select("ref", F.col("name").alias("path"), "name", one.alias("kind"), one.alias("role"), one.alias("language"), (F.col("base") + config.SUBSYSTEM_BASE).alias("score"), "summary")
-        hits = f.unionByName(s).unionByName(u).withColumn("score", F.round("score", 3))
+        hits = f.unionByName(s).unionByName(u).withColumn("score", rounded(F.col("score")))
         if not second:
             return hits
         bonus = graph.proximity(self.store.read("relations"), hits.select("ref"))
-        boosted = F.when(F.coalesce("bonus", F.lit(0.0)) != 0, F.round(graph.boosted(F.col("score"), F.col("bonus")), 3)).otherwise(F.col("score"))
+        boosted = F.when(F.coalesce("bonus", F.lit(0.0)) != 0, rounded(graph.boosted(F.col("score"), F.col("bonus")))).otherwise(F.col("score"))
         return hits.join(bonus, "ref", "left").withColumn("score", boosted).drop("bonus")
 
     def search(self, query: str, kind: str | None = None, limit: int | None = None) -> dict[str, Any]:
@@ -238,16 +246,21 @@ class Engine:
         semantic = self._semantic(query, memories=True).select(F.substring("ref", 8, 30).cast("long").alias("memory_id"), "semantic") if self.encoder else None
         return memory.recall(m, text.query_terms(query), semantic)
 
+    def _memories(self) -> DataFrame:
+        """The memories, each validated last when it was recalled last."""
+        last = self.store.read("validations").groupBy("memory_id").agg(F.max("validated_at").alias("v"))
+        m = self.store.read("memories")
+        return m.join(last, "memory_id", "left").withColumn("last_validated_at", F.greatest("last_validated_at", "v")).select(m.columns)
+
     def _with_staleness(self) -> DataFrame:
-        return memory.with_staleness(self.store.read("memories"), memory.evidence_table(*(self.store.read(t) for t in ("files", "symbols", "chunks"))))
+        return memory.with_staleness(self._memories(), memory.evidence_table(*(self.store.read(t) for t in ("files", "symbols", "chunks"))))
 
     def _recalled(self, query: str) -> list[dict]:
-        """Memories for a query. Fresh ones count as validated now."""
+        """Memories for a query. Fresh ones count as validated now: a few rows are appended, the memories stay as they are."""
         rows = plain(self.memories_df(query).select("memory_id", "title", "summary", "evidence_refs", "created_at", "stale", "last_validated_at").collect())
         at, fresh = self.clock(), [r["memory_id"] for r in rows if not r["stale"]]
-        if fresh:
-            m = self.store.read("memories")
-            self.store.write(memories=m.withColumn("last_validated_at", F.when(F.col("memory_id").isin(fresh), F.lit(at)).otherwise(F.col("last_validated_at"))))
+        if fresh and isinstance(self.store, Store):
+            self.store.append("validations", self.spark.createDataFrame([(i, at) for i in fresh], "memory_id long, validated_at string"))
         return [r | ({"last_validated_at": at} if not r["stale"] else {}) for r in rows]
 
     def retrieve(self, query: str, budget_tokens: int | None = None, scope: str | None = None) -> dict[str, Any]:
@@ -312,7 +325,7 @@ class Engine:
             for c in found:
                 sections.append(("chunk", round(h["score"] * (0.9 if h["ref"].startswith("symbol:") else 1), 3), [f"chunk:{c['chunk_id']}"], c["text"]))
                 refs |= {f"file:{c['path']}"} | ({c["symbol_id"]} if c["symbol_id"] else set())
-        for m in self.memories_df(query).collect():
+        for m in self._recalled(query):
             sections.append(("memory", 0.5 if m["stale"] else 7.0, list(m["evidence_refs"]) or [f"memory:{m['memory_id']}"], f"{m['title']}: {m['summary']}"))
             refs |= {r for r in m["evidence_refs"] if r.startswith("symbol:")}
         if refs:
@@ -353,14 +366,19 @@ class Engine:
     # Memories
 
     def remember(self, title: str, summary: str, evidence_refs: list[str] | None = None) -> dict[str, Any]:
-        m = self.store.read("memories")
-        at, number = self.clock(), (m.agg(F.max("memory_id")).first()[0] or 0) + 1
-        one = self.spark.createDataFrame([(number, title, summary, list(evidence_refs or []), at, at)], "memory_id long, title string, summary string, evidence_refs array<string>, created_at string, last_validated_at string")
-        hashed = one.join(memory.evidence_hashes(one, memory.evidence_table(*(self.store.read(t) for t in ("files", "symbols", "chunks")))), "memory_id").withColumnRenamed("current_hash", "evidence_hash")
-        self.store.write(memories=m.unionByName(hashed.select(m.columns)))
-        self._embed()
-        self.store.clear_cache()
-        return {"memory_id": number, "title": title, "created_at": at, "last_validated_at": at}
+        return self._remember_all([(title, summary, list(evidence_refs or []))])[0]
+
+    def _remember_all(self, notes_: list[tuple[str, str, list[str]]]) -> list[dict[str, Any]]:
+        """Memories of (title, summary, evidence refs), written in one step."""
+        with self.store.writing():
+            first, at = (self.store.read("memories").agg(F.max("memory_id")).first()[0] or 0) + 1, self.clock()
+            rows = [(first + i, title, summary, refs, at, at) for i, (title, summary, refs) in enumerate(notes_)]
+            new = self.spark.createDataFrame(rows, "memory_id long, title string, summary string, evidence_refs array<string>, created_at string, last_validated_at string")
+            hashed = new.join(memory.evidence_hashes(new, memory.evidence_table(*(self.store.read(t) for t in ("files", "symbols", "chunks")))), "memory_id").withColumnRenamed("current_hash", "evidence_hash")
+            self.store.append("memories", hashed)
+            self._embed()
+            self.store.clear_cache()
+        return [{"memory_id": r[0], "title": r[1], "created_at": at, "last_validated_at": at} for r in rows]
 
     def capture(self, source: str, input_format: str, commit: bool = False) -> dict[str, Any]:
         said = notes.source_text(source) if input_format in ("json", "claude-jsonl") else ""
@@ -371,7 +389,7 @@ class Engine:
             from pathlib import Path
 
             records, bad = notes.sessions(notes.log_lines(self.spark, said), "stdin" if source == "-" else Path(source).stem)
-            skipped = [{"reason": r["reason"], "context": {"error": r["context"]}} for r in bad.orderBy("ord").collect()]
+            skipped = [{"reason": r["reason"], "context": {"error": parse_error(r["context"])}} for r in bad.orderBy("ord").collect()]
         else:
             raise ValueError(f"unknown input format {input_format!r}")
         judged = notes.validated(records, self.store.read("memories").select("title") if commit else None).orderBy("ord").collect()
@@ -381,9 +399,10 @@ class Engine:
                 skipped.append({"reason": r["reason"], "context": {"title": r["title"]}})
                 continue
             entry = {"title": r["title"], "summary": r["summary"], "evidence_refs": list(r["evidence_refs"] or []), "memory_id": None}
-            if commit:
-                entry["memory_id"] = self.remember(entry["title"], entry["summary"], entry["evidence_refs"])["memory_id"]
             written.append(entry)
+        if commit and written:
+            for entry, kept in zip(written, self._remember_all([(e["title"], e["summary"], e["evidence_refs"]) for e in written]), strict=True):
+                entry["memory_id"] = kept["memory_id"]
         return {"repo_root": str(self.store.root), "input_format": input_format, "source": source, "dry_run": not commit, "written": written, "skipped": skipped, "stats": {"candidates": len(judged), "written_count": len(written), "skipped_count": len(skipped)}}
 
     # Symbols and time
@@ -429,10 +448,14 @@ class Engine:
         line = F.lit(None).cast("string")
         for n in names:
             line = F.when(F.col("name") == n, _lines_with("text", n)).otherwise(line)
-        words = [w for n in names for w in tokens(n)]
-        holds = self._words("chunk").where(F.arrays_overlap("tokens", F.array(*map(F.lit, words)))).select(F.substring("ref", 7, 1 << 30).alias("chunk_id")) if words else self._words("chunk").select(F.col("ref").alias("chunk_id")).limit(0)
-        texts = c.select("chunk_id", "path", "line_start", "text").join(holds, "chunk_id", "left_semi")
-        mentioned = F.broadcast(own).join(texts, F.col("path") != F.col("home")).where(said)
+        # Chunks that hold a word of a name, from the postings; the regular expression then decides, and the name is the key of the join.
+        words = sorted({w for n in names for w in tokens(n)})
+        held = self.store.read("postings").where((F.col("of") == "chunk") & F.col("term").isin(words)).select(F.substring("ref", 7, 1 << 30).alias("chunk_id")).distinct()
+        texts = c.select("chunk_id", "path", "line_start", "text").join(held, "chunk_id")
+        mentioned = own.withColumn("key", F.lit("")).join(texts.withColumn("key", F.lit("x")), "key").drop("key") if not names else None
+        for n in names:
+            one = own.join(texts.where(text.whole_word("text", n)).withColumn("name", F.lit(n)), "name").where(F.col("path") != F.col("home"))
+            mentioned = one if mentioned is None else mentioned.unionByName(one)
         full = shape(mentioned.withColumn("context", F.substring(text.strip(line), 1, 160)), 2, null.cast("string"), F.col("line_start"), F.col("context"), "fts")
         every = direct.unionByName(imported).unionByName(full).where("path <> home")
         every = every.where(F.col("path").startswith(scope)) if scope else every
@@ -471,6 +494,25 @@ class Engine:
         return {"queries_run": n, "passed": passed, "failed": n - passed, "recall": round(passed / n, 3) if n else 0.0, "avg_precision": mean, "total_elapsed_ms": sum(r["elapsed_ms"] for r in results), "results": results}
 
 
+def words_of(files: DataFrame, own: DataFrame, chunks: DataFrame) -> DataFrame:
+    """ref, of, path, tokens: the stemmed words of files, symbols and chunks."""
+    parts = [
+        files.select(F.concat(F.lit("file:"), "path").alias("ref"), F.lit("file").alias("of"), "path", F.concat_ws(" ", "summary", "role", "language").alias("t")),
+        own.select(F.col("symbol_id").alias("ref"), F.lit("symbol").alias("of"), "path", F.concat_ws(" ", "name", "kind", "summary").alias("t")),
+        chunks.select(F.concat(F.lit("chunk:"), "chunk_id").alias("ref"), F.lit("chunk").alias("of"), "path", F.col("text").alias("t")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("ref", "of", "path", stemmed("t").alias("tokens"))
+
+
+def parse_error(line: str) -> str:
+    """Why a line is no JSON, as Python's reader says it."""
+    try:
+        json.loads(line)
+    except ValueError as e:
+        return str(e)
+    return line
+
+
 def _lines_with(column: str, name: str):  # noqa: ANN202
     return F.get(F.filter(F.split(column, "\n"), lambda x: text.whole_word(x, name)), F.lit(0))
 

@@ -11,4 +11,9 @@ TABLES = {
     "index_meta": "key string, value string",
     "embeddings": "ref string, vector array<float>, model string, content_hash string, created_at string",
     "contents": "path string, text string",
+    "imports": "path string, source_ref string, target_ref string, relation_type string, weight double",
+    "mentions": "path string, source_ref string, target_ref string, relation_type string, weight double",
+    "postings": "term string, ref string, of string, tf long, length int, path string",
+    "lengths": "ref string, of string, length int, path string",
+    "validations": "memory_id long, validated_at string",
 }

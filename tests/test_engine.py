@@ -2,10 +2,13 @@
 
 import json
 import os
+import shutil
 import time
 
 import pytest
 
+from tessera import store
+from tessera.operators import symbols
 from tessera.plans.engine import Engine
 
 README = "# Demo\nA small demo project about accounts.\n"
@@ -120,6 +123,7 @@ def test_capture_sessions(engine, tree):
     assert [w["title"] for w in out["written"]] == ["Session 2024-01-02: Fix the login"]
     assert out["written"][0]["evidence_refs"] == ["file:docs/auth.md", "file:src/app.py"]
     assert "Assistant: Done." in out["written"][0]["summary"] and out["skipped"][0]["reason"] == "invalid_jsonl_line"
+    assert out["skipped"][0]["context"] == {"error": "Expecting value: line 1 column 1 (char 0)"}
 
 
 def test_policy_and_evaluation(spark, tree):
@@ -143,6 +147,58 @@ def test_encoder(spark, tree):
     assert e.store.read("embeddings").count() == e.store.read("files").count() + e.store.read("symbols").count() + e.store.read("subsystems").count()
 
 
+def test_refresh_parses_and_rewrites_only_what_changed(engine, tree, monkeypatch):
+    for i in range(40):
+        (tree / f"src/m{i}.py").write_text(f"def helper_{i}():\n    return {i}\n")
+    assert engine.refresh()["updated_files"] == 43
+    parsed, real = [], symbols.scan_symbols
+
+    def counted(contents, policy=None):  # noqa: ANN001, ANN202
+        parsed.extend(r["path"] for r in contents.select("path").collect())
+        return real(contents, policy)
+
+    monkeypatch.setattr(symbols, "scan_symbols", counted)
+    before = engine.store.manifest["tables"]
+    (tree / "src/m7.py").write_text("def helper_7():\n    return 'other'\n\ndef newcomer():\n    return helper_7()\n")
+    assert engine.refresh()["updated_files"] == 43 and parsed == ["src/m7.py"]
+    after = engine.store.manifest["tables"]
+    for name in ("contents", "files", "symbols", "chunks", "postings"):
+        assert sum(after[name][b] != before[name].get(b) for b in after[name]) == 1
+    assert engine.search("newcomer")["results"][0]["name"] == "newcomer"
+    parsed.clear()
+    assert engine.refresh(["src/m7.py"])["updated_files"] == 1 and parsed == [] and engine.store.manifest["tables"] == after
+    full = {t: sorted(map(str, engine.store.read(t).drop("updated_at").collect())) for t in ("files", "symbols", "chunks", "relations", "subsystems", "postings", "lengths")}
+    shutil.rmtree(engine.store.state)
+    again = Engine(engine.spark, str(tree))
+    again.index()
+    assert full == {t: sorted(map(str, again.store.read(t).drop("updated_at").collect())) for t in full}
+
+
+def test_old_folders_stay_for_readers(engine, tree):
+    plan = engine.store.read("files")
+    (tree / "src/app.py").write_text("def other():\n    pass\n")
+    engine.refresh()
+    assert plan.count() == 3  # a plan made before the refresh still reads
+
+
+def test_one_writer_at_a_time(spark, engine, monkeypatch):
+    monkeypatch.setattr(store, "BUSY_SECONDS", 0.2)
+    other = Engine(spark, str(engine.store.root))
+    with engine.store.writing(), pytest.raises(TimeoutError):
+        other.remember("a", "b")
+    assert other.remember("a", "b")["memory_id"] == 1
+
+
+def test_recall_appends(engine):
+    engine.remember("auth path", "Login logic is in src/app.py", ["src/app.py"])
+    written = engine.store.manifest["tables"]["memories"]
+    first = engine.timeline()["events"]
+    engine.clock = lambda: "2999-01-01T00:00:00+00:00"
+    engine.pack("auth path", budget_tokens=300)
+    assert engine.store.manifest["tables"]["memories"] == written and first
+    assert [r["last_validated_at"] for r in engine._memories().collect()] == ["2999-01-01T00:00:00+00:00"]
+
+
 def test_missing_root(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         Engine(spark, str(tmp_path / "none"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tessera import config, rpc
 from tessera.cli import main
 from tessera.functions import paths, text
+from tessera.functions.numbers import rounded
 from tessera.functions.porter import stem, tokens
 from tessera.operators import budget, features, graph, memory, merge, ranking, symbols, vector
 
@@ -231,3 +232,18 @@ def test_streaming(spark, tmp_path):
     assert engine.store.read("files").count() == 2
     events = spark.createDataFrame([("2024-01-01 00:10:00", "a", 1.0), ("2024-01-01 00:20:00", "a", 2.0)], "t string, event_type string, value double").select(F.col("t").cast("timestamp").alias("ts"), "event_type", "value")
     assert [r["n"] for r in rolling_counts(events).collect()] == [2]
+
+
+def test_rounding_is_pythons(spark):
+    import random
+
+    rng = random.Random(2)
+    values = [2.675, 0.0005, 0.0015, 0.5, 1.0005, 2.5, 0.1235, 1e6 + 0.0005, -1.0015, 0.0, 0.062500, 0.3125, 0.4375] + [round(rng.uniform(0, 50), 4) for _ in range(3000)] + [rng.randrange(10**6) / 2000 for _ in range(2000)]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", rounded(F.col("v")).alias("r")).collect()
+    assert [r["r"] for r in got] == [round(r["v"], 3) for r in got]
+
+
+def test_deeply_nested_source_has_its_headings(spark):
+    files = [("a.py", "-" * 100_000 + "1\n"), ("b.py", "(" * 5000 + ")" * 5000 + "\n# Heading\n"), ("c.py", "def f():\n    pass\n")]
+    rows = symbols.symbols_of(symbols.scan_symbols(spark.createDataFrame(files, "path string, text string"))).collect()
+    assert [(r["path"], r["name"]) for r in sorted(rows, key=lambda r: r["path"])] == [("b.py", "Heading"), ("c.py", "f")]
