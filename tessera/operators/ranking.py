@@ -66,11 +66,13 @@ def bm25(docs: DataFrame, query: list[str], tokens: str = "tokens") -> DataFrame
         return docs.withColumn("bm25", F.lit(0.0))
     said = [F.coalesce(F.sum(F.array_contains(t, w).cast("long")), F.lit(0)).alias(f"d{i}") for i, w in enumerate(own)]
     stats = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(F.size(t)), F.lit(0.0)).alias("mean"), *said).first()
-    parts = []
-    for i, w in enumerate(own):
-        tf = text.occurrences(t, w).cast("double")
-        parts.append(term_score(tf, F.size(t).cast("double"), stats["n"], stats["mean"], stats[f"d{i}"]) * float(query.count(w)))
-    return docs.withColumn("bm25", added(parts))
+
+    def score(t: Column) -> Column:
+        length = F.size(t).cast("double")
+        return added([term_score(text.occurrences(t, w).cast("double"), length, stats["n"], stats["mean"], stats[f"d{i}"]) * float(query.count(w)) for i, w in enumerate(own)])
+
+    # bound once: a filter on the score would otherwise find the tokens anew for each word
+    return docs.withColumn("bm25", F.get(F.transform(F.array(t), score), F.lit(0)))
 
 
 def idf(n: int, found: int) -> float:

@@ -422,14 +422,18 @@ def missing_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.missing(*two_versions(spark, sf_dir), "path")
 
 
+HITS = 200
+
+
 def costs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 200 documents of the highest word count that a query would rank, with their cost."""
-    d = read(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("chars"), text.token_estimate("text").alias("cost"))
-    return d.orderBy(F.desc("chars"), "doc_id").limit(200).withColumn("rank", F.row_number().over(Window.orderBy(F.col("doc_id") * 7919 % 1000, "doc_id")))
+    """The first HITS hits of a full-text query (the top-k of a search is what a budget is fitted to), with their rank and cost."""
+    d = read(spark, sf_dir, "documents").select("doc_id", text.words("text").alias("tokens"), text.token_estimate("text").alias("cost"))
+    hits = ranking.bm25(d, text.query_words(ASKED)).where("bm25 > 0").select("doc_id", rounded("bm25").alias("score"), "cost")
+    return hits.orderBy(F.desc("score"), "doc_id").limit(HITS).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id"))).drop("score")
 
 
-SQL_COSTS = """c AS (SELECT *, row_number() OVER (ORDER BY doc_id * 7919 % 1000, doc_id) AS rank FROM
-    (SELECT doc_id, length(text) AS chars, CAST(CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, length(text) // 4) END AS BIGINT) AS cost FROM documents ORDER BY chars DESC, doc_id LIMIT 200))"""
+SQL_COSTS = f"""{BM25_SQL}, c AS MATERIALIZED (SELECT doc_id, CAST(CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, length(text) // 4) END AS BIGINT) AS cost, row_number() OVER (ORDER BY round(bm25, 6) DESC, doc_id) AS rank
+    FROM raw JOIN documents USING (doc_id) ORDER BY rank LIMIT {HITS})"""
 
 
 @query("retrieve_prefix_budget", f"WITH {SQL_COSTS} SELECT doc_id, rank, CAST(cost AS INTEGER) AS cost FROM (SELECT *, sum(cost) OVER (ORDER BY rank) AS s FROM c) WHERE s <= 60000")
@@ -444,10 +448,17 @@ def pack_greedy_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return budget.greedy_skip(costs(spark, sf_dir), 60000).select("doc_id", "rank", "kept")
 
 
-@query("retrieve_nested_break")
+@query("retrieve_nested_break", f"""WITH RECURSIVE {SQL_COSTS}, walk AS (SELECT CAST(0 AS BIGINT) AS rank, CAST(100 AS BIGINT) AS used, false AS done, '' AS kept
+    UNION ALL SELECT c.rank, CASE WHEN done OR used + c.cost // 10 > 60000 THEN used WHEN used + c.cost // 10 + c.cost > 60000 THEN used + c.cost // 10
+                     WHEN used + c.cost // 10 + c.cost + c.cost // 2 > 60000 THEN used + c.cost // 10 + c.cost ELSE used + c.cost // 10 + c.cost + c.cost // 2 END,
+           done OR used + c.cost // 10 > 60000 OR used + c.cost // 10 + c.cost + c.cost // 2 = 60000,
+           CASE WHEN done OR used + c.cost // 10 > 60000 THEN kept ELSE kept || c.rank || ':' || CASE WHEN used + c.cost // 10 + c.cost > 60000 THEN 0 WHEN used + c.cost // 10 + c.cost + c.cost // 2 > 60000 THEN 1 ELSE 2 END || ',' END
+           FROM walk JOIN c ON c.rank = walk.rank + 1)
+    SELECT used, kept FROM walk ORDER BY rank DESC LIMIT 1""")
 def retrieve_nested_break(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = costs(spark, sf_dir)
-    return budget.nested_break(c.select("rank", (F.col("cost") / 10).cast("long").alias("cost"), F.array("cost", (F.col("cost") / 2).cast("int")).alias("chunks")), 60000, 100)
+    out = budget.nested_break(c.select("rank", F.floor(F.col("cost") / 10).cast("long").alias("cost"), F.array("cost", F.floor(F.col("cost") / 2).cast("int")).alias("chunks")), 60000, 100)
+    return out.select("used", F.array_join(F.transform("kept", lambda k: F.concat(k["rank"].cast("string"), F.lit(":"), k["n"].cast("string"), F.lit(","))), "").alias("kept"))
 
 
 @query("eval_precision", """WITH x AS (SELECT b.item_id, b.item_id % 4 + 1 AS wanted, count(d.doc_id) AS found FROM benchmark b LEFT JOIN (SELECT DISTINCT item_id, doc_id FROM

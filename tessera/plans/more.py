@@ -53,7 +53,7 @@ def capture_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("session_records", r"""WITH s AS (SELECT conv_id, arg_min(text, turn) FILTER (role = 'user') AS u, arg_min(text, turn) FILTER (role = 'assistant') AS a, min(turn) AS e, max(turn) AS l, count(*) FILTER (role = 'assistant') AS k FROM conversations GROUP BY conv_id),
-    t AS (SELECT conv_id, trim(coalesce(u, '')) AS u, trim(coalesce(a, '')) AS a, '2024-01-0' || (e % 9 + 1) AS early, '2024-01-0' || (l % 9 + 1) AS late, k FROM s)
+    t AS (SELECT conv_id, trim(coalesce(u, '')) AS u, trim(coalesce(a, '')) AS a, strftime(DATE '2024-01-01' + CAST(e AS INTEGER), '%Y-%m-%d') AS early, strftime(DATE '2024-01-01' + CAST(l AS INTEGER), '%Y-%m-%d') AS late, k FROM s)
     SELECT 'Session ' || left(early, 10) || ': ' || CASE WHEN u = '' THEN 'Session c' || conv_id ELSE left(string_split(u, chr(10))[1], 80) END AS title,
            'Session id: c' || conv_id || chr(10) || 'Time range: ' || early || ' → ' || late || chr(10) || 'Touched: ' || CASE WHEN k > 0 THEN 'src/f' || conv_id || '.py' ELSE 'no files touched' END
            || CASE WHEN u = '' THEN '' ELSE chr(10) || 'User: ' || left(u, 240) END || CASE WHEN a = '' THEN '' ELSE chr(10) || 'Assistant: ' || left(a, 240) END AS summary,
@@ -61,12 +61,13 @@ def capture_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM t WHERE u <> '' OR k > 0""")
 def session_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The conversations as lines of a session log."""
-    c = read(spark, sf_dir, "conversations").where("turn < 9")
+    c = read(spark, sf_dir, "conversations")
+    at = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), F.col("turn").cast("int")), "yyyy-MM-dd")
     part = F.struct(F.lit("text").alias("type"), F.col("text"))
     used = F.struct(F.lit("tool_use").alias("type"), F.struct(F.concat(F.lit("./src/f"), F.col("conv_id").cast("string"), F.lit(".py")).alias("file_path")).alias("input"))
-    user = F.to_json(F.struct(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("sessionId"), F.concat(F.lit("2024-01-0"), (F.col("turn") % 9 + 1).cast("string")).alias("timestamp"), F.col("role").alias("type"), F.struct(F.col("text").alias("content")).alias("message")))
+    user = F.to_json(F.struct(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("sessionId"), at.alias("timestamp"), F.col("role").alias("type"), F.struct(F.col("text").alias("content")).alias("message")))
     said = F.concat(F.lit("["), F.to_json(part), F.lit(","), F.to_json(used), F.lit("]"))
-    ours = F.concat(F.lit('{"sessionId":"c'), F.col("conv_id").cast("string"), F.lit('","timestamp":"2024-01-0'), (F.col("turn") % 9 + 1).cast("string"), F.lit('","type":"assistant","message":{"content":'), said, F.lit("}}"))
+    ours = F.concat(F.lit('{"sessionId":"c'), F.col("conv_id").cast("string"), F.lit('","timestamp":"'), at, F.lit('","type":"assistant","message":{"content":'), said, F.lit("}}"))
     lines = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), F.when(F.col("role") == "assistant", ours).otherwise(user).alias("line"))
     records, _ = capture.sessions(lines, "log")
     return records.select("title", "summary", F.array_join("evidence_refs", ",").alias("evidence"))
