@@ -76,6 +76,13 @@ def discard(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """The names of what is directly below a path; none if it isn't there."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+
+
 def text_of(df: DataFrame, name: str = "text") -> Column:
     """The text column, null as empty."""
     return F.coalesce(df[name].cast("string"), F.lit(""))

@@ -2,13 +2,15 @@
 
 A suffix array entry stands for a sampled suffix. Of each 200-byte window the suffix that starts with the least 73-byte gram (the
 leftmost, by hash) is sampled, so equal windows sample the same suffix at the same depth, wherever they stand, and a text has about one entry in 64 bytes.
-The windows that share a sampled suffix are neighbours; an entry keeps the fingerprint ``head`` of the suffix's first bytes, by which arrays
-are ordered, and the fingerprint ``around`` of all bytes that its windows cover.
+A suffix is held by its first 73 bytes - the depth that every window of an entry covers, so windows can only be equal if their suffixes have a common prefix
+of at least that length. An entry also has ``head``, a fingerprint of these bytes by which documents find it again, and ``around``, one of all bytes that its windows cover.
 
-Index family (``SuffixFamily``): a new batch of documents gets its array - entries ordered by (head, around) with their number - and is merge-scanned with
-every level for heads that occur twice; then levels of equal rank merge into one of the next rank. No document is read for this.
+Index family (``SuffixFamily``): a new batch of documents gets its array - entries in the byte order of their suffixes, dealt to files by ranges of
+(suffix, around), with their number. It is merge-scanned with every level: both are read in one order, neighbours are compared byte by byte, and where the longest
+common prefix reaches 73 bytes the suffix has a long match. Then levels of equal rank merge into one of the next rank, so n batches leave at most log2(n) + 1
+levels. No document is read for this. A family at a path of its own keeps its levels and matches there, and later runs add batches to it.
 
-Exact result from the heads that occur twice:
+Exact result from the suffixes that have a long match:
 
 * ``around`` occurs twice: all windows of the entry are repeated;
 * else, if its head has other surroundings: its windows are fingerprinted one by one (200 bytes each), with one entry for each other
@@ -17,15 +19,17 @@ Exact result from the heads that occur twice:
   dealt by hash into shares of bounded size.
 
 No step pairs entries: everything is sorted or counted by key, combines on the map side, and rejoins by key (sort-merge joins that Spark splits where a
-key is hot). Fingerprints are 64 bits of their own beside 64 bits of the head. Tables that are used up are deleted, and their shuffle files with them.
+key is hot). Fingerprints are 64 bits of their own beside 64 bits of the head; equality of windows goes by these 128 bits and is not looked up in the texts once
+more. Tables that are used up are deleted, and their shuffle files with them.
 
-Defined results: null text is empty; texts under 200 bytes lose nothing; repeated rows are documents that repeat each other; a null doc_id is a value
-like others; an empty table gives no rows; other columns are ignored. Long documents are worked through in pieces.
+Defined results: null text is empty; texts under 200 bytes lose nothing; repeated rows and ties are documents that repeat each other; a null doc_id is a value
+like others; an empty table gives no rows; other columns are ignored, also those named like columns made here. Long documents are worked through in pieces.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import drop, materialize, release, table, text_of, utf8
+from tessera.llm.common import discard, drop, folders, materialize, release, table, text_of, utf8, work_dir
 from tessera.llm.textnum import U, buffers, by_key, mix, powers, slices
 
 LENGTH = 200
@@ -42,14 +46,12 @@ WINDOWS = 128
 GRAM = LENGTH - WINDOWS + 1
 #: Windows of a long document that are worked on at a time.
 PIECE = 2 << 20
-#: Batches in which documents enter the index family.
-BATCHES = 2
+#: Batches in which documents enter the index family where all are given at once.
+BATCHES = 4
 #: Surroundings of a head that are compared in one place.
 CROWD = 400
 #: Windows of a crowded head that are compared in one place.
 SHARE = 16_384
-#: Stands for a null doc_id while ranges are found.
-NO_ID = -(2**63)
 
 
 def prefix_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,11 +110,64 @@ def pieces(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch,
             yield part, piece, np.array([0, len(piece)]) if part.num_rows == 1 else at, a
 
 
-def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+ENTRY = "suffix binary, head long, around long, n long"
+
+
+def suffix_bytes(data: np.ndarray, at: np.ndarray) -> pa.Array:
+    """The first GRAM bytes of the suffixes at some places of the data."""
+    flat = data[at[:, None] + np.arange(GRAM)].reshape(-1)
+    return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((np.arange(len(at) + 1) * GRAM).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(flat))])
+
+
+def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sampled suffixes of some texts; equal ones of a piece are counted."""
     for batch in batches:
         for _, data, at, _ in pieces(batch, 0):
-            _, head, around, _, _, _ = entries(data, at)
-            yield pa.record_batch([pa.array(head), pa.array(around)], names=["head", "around"])
+            doc, head, around, place, _, _ = entries(data, at)
+            order = np.lexsort((around, head))
+            new = np.ones(len(order), bool)
+            new[1:] = (head[order][1:] != head[order][:-1]) | (around[order][1:] != around[order][:-1])
+            first = np.flatnonzero(new)
+            one = order[first]
+            n = np.diff(np.append(first, len(order))).astype(np.int64)
+            yield pa.record_batch([suffix_bytes(data, (place + at[doc])[one]), pa.array(head[one]), pa.array(around[one]), pa.array(n)], names=["suffix", "head", "around", "n"])
+
+
+def rows_of_bytes(column: pa.ChunkedArray) -> np.ndarray:
+    """Suffixes as a matrix, a row each."""
+    return buffers(column)[0].reshape(-1, GRAM)
+
+
+def common_prefixes(suffixes: np.ndarray) -> np.ndarray:
+    """The length of the longest common prefix of each suffix and the next; at most GRAM, which is all that is held."""
+    differ = suffixes[1:] != suffixes[:-1]
+    return np.where(differ.any(1), differ.argmax(1), GRAM)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Neighbours of equal suffix and surroundings as one entry. Rows come in order of both."""
+    for rows in by_key(batches, [1, 2]):
+        head, around = rows.column(1).to_numpy(), rows.column(2).to_numpy()
+        first = np.flatnonzero(np.concatenate([[True], (head[1:] != head[:-1]) | (around[1:] != around[:-1])]))
+        one = rows.select(["suffix", "head", "around"]).take(pa.array(first)).combine_chunks()
+        yield from one.append_column("n", pa.array(np.add.reduceat(rows.column(3).to_numpy(), first))).to_batches()
+
+
+def _collapsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a suffix of a file of an array, with its entries' number."""
+    for rows in by_key(batches, [1]):
+        first = np.concatenate([[0], np.flatnonzero(common_prefixes(rows_of_bytes(rows.column(0))) < GRAM) + 1])
+        one = rows.select(["suffix", "head"]).take(pa.array(first)).combine_chunks()
+        yield from one.append_column("n", pa.array(np.add.reduceat(rows.column(3).to_numpy(), first))).to_batches()
+
+
+def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Heads of the suffixes of the new array (new = 1) that share a prefix of GRAM bytes with another. Rows come in the order of suffixes."""
+    for rows in by_key(batches, [1]):
+        first = np.concatenate([[0], np.flatnonzero(common_prefixes(rows_of_bytes(rows.column(0))) < GRAM) + 1])
+        twice = np.add.reduceat(rows.column(2).to_numpy(), first) > 1
+        new = np.maximum.reduceat(rows.column(3).to_numpy(), first) == 1
+        yield pa.record_batch([pa.array(rows.column(1).to_numpy()[first][twice & new])], names=["head"])
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,60 +179,90 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([ids.column(0), ids.column(1), pa.array(head), pa.array(around), *where], names=["doc_id", "digest", "head", "around", "place", "first", "last"])
 
 
+def in_order(entries_: DataFrame) -> DataFrame:
+    """Entries in the byte order of their suffixes, those of equal suffix by surroundings; ranges of this order are dealt out, so a hot suffix is split."""
+    return entries_.repartitionByRange("suffix", "around").sortWithinPartitions("suffix", "around")
+
+
 def suffix_array(docs: DataFrame) -> DataFrame:
-    """The array of a batch: head, around and how many entries have them, in order of head."""
-    found = docs.select(utf8(text_of(docs)).alias("text")).mapInArrow(_heads, "head long, around long")
-    return found.groupBy("head", "around").agg(F.count(F.lit(1)).alias("n")).sortWithinPartitions("head", "around")
+    """The array of a batch: suffix, head, around and how many entries have them, in order. Copies combine before they move."""
+    found = docs.select(utf8(text_of(docs)).alias("text")).mapInArrow(_suffixes, ENTRY)
+    return in_order(found.groupBy("suffix", "head", "around").agg(F.sum("n").alias("n")))
 
 
 class SuffixFamily:
-    """Levels by rank: the path of each level's table. ``matches``: the tables of heads found twice so far."""
-
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark = spark
-        self.levels: dict[int, DataFrame] = {}
-        self.matches: list[DataFrame] = []
+    """Levels by rank and the matches found so far, below ``path``. Without a path they are in the work folder and go with ``drop``."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None) -> None:
+        self.spark, self.path = spark, path or work_dir(spark, "family")
+        self.levels: dict[int, str] = {}
+        self.matches: list[str] = []
+        self.state = 0
+        if path:
+            states = [int(n.removeprefix("state-")) for n in folders(spark, self.path) if n.startswith("state-")]
+            if states:
+                self.state = max(states)
+                for r in spark.read.parquet(f"{self.path}/state-{self.state}").collect():
+                    if r["rank"] >= 0:
+                        self.levels[r["rank"]] = r["folder"]
+                    else:
+                        self.matches.append(r["folder"])
+
+    def read(self, folder: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{folder}")
+
+    def _write(self, df: DataFrame, kind: str) -> str:
+        folder = f"{kind}-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").option("parquet.writer.version", "PARQUET_2_0").parquet(f"{self.path}/{folder}")
+        release(self.spark)
+        return folder
 
     def insert(self, docs: DataFrame) -> None:
-        """Add a batch: build its array, scan it with all levels, merge levels of equal rank."""
-        array = materialize(suffix_array(docs), "level")
-        release(self.spark)
-        scan = array.select("head", "n", F.lit(1).alias("new"))
+        """Add a batch: build its array, merge-scan it with all levels, merge levels of equal rank, note the new state, delete what it leaves out."""
+        array = self._write(suffix_array(docs), "level")
+        scan = self.read(array).mapInArrow(_collapsed, "suffix binary, head long, n long").withColumn("new", F.lit(1))
         for level in self.levels.values():
-            scan = scan.unionByName(level.select("head", "n", F.lit(0).alias("new")))
-        twice = scan.groupBy("head").agg(F.sum("n").alias("n"), F.max("new").alias("new")).where("n > 1 AND new = 1").select("head")
-        self.matches.append(materialize(twice, "matches", merge=8))
-        release(self.spark)
-        rank = 0
+            scan = scan.unionByName(self.read(level).mapInArrow(_collapsed, "suffix binary, head long, n long").withColumn("new", F.lit(0)))
+        # What a file holds of a suffix is one row by now, so few rows of a suffix meet.
+        ordered = scan.repartitionByRange("suffix").sortWithinPartitions("suffix")
+        self.matches.append(self._write(ordered.mapInArrow(_scanned, "head long"), "matches"))
+        rank, old = 0, []
         while rank in self.levels:
             other = self.levels.pop(rank)
-            merged = other.unionByName(array).groupBy("head", "around").agg(F.sum("n").alias("n")).sortWithinPartitions("head", "around")
-            merged = materialize(merged, "level")
-            drop(other, array)
-            array, rank = merged, rank + 1
-            release(self.spark)
+            both = in_order(self.read(other).unionByName(self.read(array)))
+            old += [other, array]
+            array, rank = self._write(both.mapInArrow(_counted, ENTRY), "level"), rank + 1
         self.levels[rank] = array
+        self.state += 1
+        rows = [*self.levels.items(), *((-1 - i, m) for i, m in enumerate(self.matches))]
+        values = ", ".join(f"({r}, '{f}')" for r, f in rows)
+        self.spark.sql(f"SELECT * FROM VALUES {values} AS state(rank, folder)").coalesce(1).write.parquet(f"{self.path}/state-{self.state}")
+        for folder in [*old, f"state-{self.state - 1}"]:
+            discard(self.spark, f"{self.path}/{folder}")
 
     def repeated(self) -> DataFrame:
-        """head, around, n, surroundings (of the head) for each entry whose head occurs twice."""
+        """head, around, n, surroundings (of the head) for each entry whose suffix has a long match."""
         every = None
-        for level in self.levels.values():
+        for folder in self.levels.values():
+            level = self.read(folder).select("head", "around", "n")
             every = level if every is None else every.unionByName(level)
-        heads = self.matches[0]
+        heads = self.read(self.matches[0])
         for m in self.matches[1:]:
-            heads = heads.union(m)
+            heads = heads.union(self.read(m))
         if len(self.levels) > 1:
             every = every.groupBy("head", "around").agg(F.sum("n").alias("n"))
         found = every.join(heads.distinct().hint("merge"), "head", "left_semi")  # alone in its stage, so a hot head's rows can be split
         found = materialize(found, "repeated")
-        drop(*self.levels.values(), *self.matches)
-        self.levels, self.matches = {}, []
+        release(self.spark)
         many = found.groupBy("head").agg(F.count(F.lit(1)).alias("surroundings"))
         out = materialize(found.join(many.hint("merge"), "head"), "repeated")
         drop(found)
         release(self.spark)
         return out
 
+    def drop(self) -> None:
+        discard(self.spark, self.path)
+
 
 def prints_of(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The starts and fingerprints of the windows of some entries of one document, in order of entry. Entries ascend by first window."""
@@ -339,13 +424,20 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), *cols], names=names)
 
 
-def repeated_ranges(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """doc_id, digest (of the text) and runs: the byte ranges of a document that repeated windows cover, not yet merged."""
+def repeated_ranges(docs: DataFrame, batches: int = BATCHES, family: SuffixFamily | None = None) -> DataFrame:
+    """doc_id, digest (of the text) and runs: the byte ranges of a document that repeated windows cover, not yet merged.
+
+    Without a ``family`` the documents are put into one of their own, in batches. With one, it must hold all documents; it stays as it is.
+    """
     spark = docs.sparkSession
-    family = SuffixFamily(spark)
-    for i in range(batches):
-        family.insert(docs.where(F.pmod(F.xxhash64("doc_id", text_of(docs)), F.lit(batches)) == i) if batches > 1 else docs)
+    own = family is None
+    if own:
+        family = SuffixFamily(spark)
+        for i in range(batches):
+            family.insert(docs.where(F.pmod(F.xxhash64("doc_id", text_of(docs)), F.lit(batches)) == i) if batches > 1 else docs)
     repeated = family.repeated()
+    if own:
+        family.drop()
     d = keyed(docs)
     found = d.mapInArrow(_entries, "doc_id long, digest long, head long, around long, place int, first int, last int").drop("place")
     found = materialize(found.join(repeated, ["head", "around"]), "entries")
@@ -385,16 +477,17 @@ def repeated_ranges(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, digest and bytes. A null id has a number of its own here: rows of equal id and digest have equal texts, and so equal ranges."""
-    return docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID).cast("long")).alias("doc_id"), F.xxhash64(text_of(docs)).alias("digest"), utf8(text_of(docs)).alias("text"))
+    """doc_id, digest, bytes and no_id. A null id is 0 here and told by its digest: rows of equal id and digest have equal texts, and so equal ranges."""
+    no_id = docs["doc_id"].isNull()
+    return docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(0).cast("long")).alias("doc_id"), F.xxhash64(text_of(docs), no_id).alias("digest"), utf8(text_of(docs)).alias("text"), no_id.alias("no_id"))
 
 
-def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
+def remove_repeats(docs: DataFrame, batches: int = BATCHES, family: SuffixFamily | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the byte ranges that stay) for each document."""
-    runs = repeated_ranges(docs, batches).select(F.col("doc_id").alias("r_id"), F.col("digest").alias("r_digest"), "runs")
+    runs = repeated_ranges(docs, batches, family).select(F.col("doc_id").alias("r_id"), F.col("digest").alias("r_digest"), "runs")
     d = keyed(docs)
     both = d.join(runs, (d["doc_id"] == runs["r_id"]) & (d["digest"] == runs["r_digest"]), "left")
-    both = both.select(F.nullif("doc_id", F.lit(NO_ID).cast("long")).alias("doc_id"), "text", "runs")
+    both = both.select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "text", "runs")
     return both.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept array<struct<a:long,b:long>>")
 
 

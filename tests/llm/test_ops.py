@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import pathlib
 import random
 import re
 import time
@@ -426,6 +427,38 @@ def test_op5_against_all_strings(spark, crowd, batches):
     assert got == want
 
 
+def test_op5_arrays_are_in_byte_order(spark):
+    rows = data.documents()
+    path = work_dir(spark, "test")
+    suffixes.suffix_array(data.frame(spark, rows)).write.parquet(path)
+    found = []
+    for f in sorted(x.name for x in pathlib.Path(path.removeprefix("file://")).glob("part-*")):  # files in the order of their ranges
+        found += [(bytes(r["suffix"]), r["around"], r["n"]) for r in spark.read.parquet(f"{path}/{f}").collect()]
+    assert [x[:2] for x in found] == sorted(x[:2] for x in found) and len({x[:2] for x in found}) == len(found)
+    texts = [(t or "").encode() for _, t, *_ in rows]
+    assert all(any(s in t for t in texts) for s, _, _ in found)
+    m = np.frombuffer(b"".join(s for s, _, _ in found), np.uint8).reshape(-1, suffixes.GRAM)
+    plain = [next((k for k in range(suffixes.GRAM) if a[k] != b[k]), suffixes.GRAM) for (a, _, _), (b, _, _) in zip(found, found[1:], strict=False)]
+    assert suffixes.common_prefixes(m).tolist() == plain
+
+
+def test_op5_family_grows_over_runs(spark):
+    """Batches that come in runs of their own: levels merge geometrically and the result is that of all documents at once."""
+    rows = data.documents()
+    path = work_dir(spark, "test")
+    ranks = []
+    for i in range(5):
+        family = suffixes.SuffixFamily(spark, path)
+        family.insert(data.frame(spark, rows[i::5]))
+        ranks.append(sorted(family.levels))
+    assert ranks == [[0], [1], [0, 1], [2], [0, 2]]
+    again = suffixes.SuffixFamily(spark, path)
+    assert again.levels == family.levels and again.matches == family.matches
+    key = lambda r: (str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"])
+    d = data.frame(spark, rows)
+    assert sorted(map(key, suffixes.remove_repeats(d, family=again).collect())) == sorted(map(key, suffixes.remove_repeats(d, 1).collect()))
+
+
 def test_op5_pieces_cover_long_texts(monkeypatch):
     monkeypatch.setattr(suffixes, "PIECE", 3000)
     raw = np.random.default_rng(0).integers(97, 100, 10_000).astype(np.uint8)
