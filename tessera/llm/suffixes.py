@@ -6,9 +6,10 @@ A suffix is held by its first 73 bytes - the depth that every window of an entry
 of at least that length. An entry also has ``head``, a fingerprint of these bytes by which documents find it again, and ``around``, one of all bytes that its windows cover.
 
 Index family (``SuffixFamily``): a new batch of documents gets its array - entries in the byte order of their suffixes, dealt to files by ranges of
-(suffix, around), with their number. It is merge-scanned with every level: both are read in one order, neighbours are compared byte by byte, and where the longest
-common prefix reaches 73 bytes the suffix has a long match. Then levels of equal rank merge into one of the next rank, so n batches leave at most log2(n) + 1
-levels. No document is read for this. A family at a path of its own keeps its levels and matches there, and later runs add batches to it.
+(suffix, around), with their number. It is merge-scanned with every level: arrays are brought into one order, neighbours are compared byte by byte, and where the
+longest common prefix reaches 73 bytes the suffix has a long match. Levels of equal rank merge with the new array into one of a next rank in the same pass, so n
+batches leave at most log2(n) + 1 levels; levels that stay are scanned without being rewritten. No document is read for this. A family at a path of its own keeps its
+levels and matches there, and later runs add batches to it.
 
 Exact result from the suffixes that have a long match:
 
@@ -31,6 +32,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +49,7 @@ GRAM = LENGTH - WINDOWS + 1
 #: Windows of a long document that are worked on at a time.
 PIECE = 2 << 20
 #: Batches in which documents enter the index family where all are given at once.
-BATCHES = 4
+BATCHES = 3
 #: Surroundings of a head that are compared in one place.
 CROWD = 400
 #: Windows of a crowded head that are compared in one place.
@@ -111,6 +113,8 @@ def pieces(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch,
 
 
 ENTRY = "suffix binary, head long, around long, n long"
+#: What a pass says of an entry: nothing, that its suffix has a long match, or that it is the first or last of its range and has none there.
+ALONE, MATCHED, EDGE = 0, 1, 2
 
 
 def suffix_bytes(data: np.ndarray, at: np.ndarray) -> pa.Array:
@@ -144,30 +148,37 @@ def common_prefixes(suffixes: np.ndarray) -> np.ndarray:
     return np.where(differ.any(1), differ.argmax(1), GRAM)
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Neighbours of equal suffix and surroundings as one entry. Rows come in order of both."""
-    for rows in by_key(batches, [1, 2]):
-        head, around = rows.column(1).to_numpy(), rows.column(2).to_numpy()
-        first = np.flatnonzero(np.concatenate([[True], (head[1:] != head[:-1]) | (around[1:] != around[:-1])]))
-        one = rows.select(["suffix", "head", "around"]).take(pa.array(first)).combine_chunks()
-        yield from one.append_column("n", pa.array(np.add.reduceat(rows.column(3).to_numpy(), first))).to_batches()
+def _passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row an entry, with its flag. Rows come in order of suffix and surroundings; one entry is held back until its next neighbour is known."""
+    names = ["suffix", "head", "around", "n"]
+    held: pa.Table | None = None
+    first, before = True, False  # whether nothing has been said yet; whether the held entry shares its suffix with the one before it
 
+    def said(rows: pa.Table, flag: np.ndarray) -> Iterator[pa.RecordBatch]:
+        yield from rows.append_column("flag", pa.array(flag)).combine_chunks().to_batches()
 
-def _collapsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row a suffix of a file of an array, with its entries' number."""
-    for rows in by_key(batches, [1]):
-        first = np.concatenate([[0], np.flatnonzero(common_prefixes(rows_of_bytes(rows.column(0))) < GRAM) + 1])
-        one = rows.select(["suffix", "head"]).take(pa.array(first)).combine_chunks()
-        yield from one.append_column("n", pa.array(np.add.reduceat(rows.column(3).to_numpy(), first))).to_batches()
-
-
-def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Heads of the suffixes of the new array (new = 1) that share a prefix of GRAM bytes with another. Rows come in the order of suffixes."""
-    for rows in by_key(batches, [1]):
-        first = np.concatenate([[0], np.flatnonzero(common_prefixes(rows_of_bytes(rows.column(0))) < GRAM) + 1])
-        twice = np.add.reduceat(rows.column(2).to_numpy(), first) > 1
-        new = np.maximum.reduceat(rows.column(3).to_numpy(), first) == 1
-        yield pa.record_batch([pa.array(rows.column(1).to_numpy()[first][twice & new])], names=["head"])
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch]).select(names)
+        rows = pa.concat_tables([held, rows]).combine_chunks() if held is not None else rows
+        around, n = rows.column("around").to_numpy(), rows.column("n").to_numpy()
+        long = common_prefixes(rows_of_bytes(rows.column("suffix"))) >= GRAM
+        start = np.flatnonzero(np.concatenate([[True], ~(long & (around[1:] == around[:-1]))]))
+        n = np.add.reduceat(n, start)
+        entry = rows.take(pa.array(start)).set_column(3, "n", pa.array(n))
+        near = long[start[1:] - 1]  # an entry and the next share their suffix
+        back, ahead = np.concatenate([[before], near]), np.concatenate([near, [False]])
+        flag = np.where((n > 1) | back | ahead, MATCHED, ALONE).astype(np.int32)
+        if first and flag[0] == ALONE:
+            flag[0] = EDGE
+        k = len(start) - 1
+        if k:
+            yield from said(entry.slice(0, k), flag[:k])
+            first = False
+        held, before = entry.slice(k), bool(back[k])
+    if held is not None:
+        yield from said(held, np.array([MATCHED if before or held.column("n")[0].as_py() > 1 else EDGE], np.int32))
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,15 +190,23 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([ids.column(0), ids.column(1), pa.array(head), pa.array(around), *where], names=["doc_id", "digest", "head", "around", "place", "first", "last"])
 
 
-def in_order(entries_: DataFrame) -> DataFrame:
-    """Entries in the byte order of their suffixes, those of equal suffix by surroundings; ranges of this order are dealt out, so a hot suffix is split."""
-    return entries_.repartitionByRange("suffix", "around").sortWithinPartitions("suffix", "around")
+def passed(entries_: DataFrame) -> DataFrame:
+    """Entries in the byte order of their suffixes, those of equal suffix by surroundings, each once with its number and flag.
+
+    Ranges of this order are dealt out, so a hot suffix is split.
+    """
+    return entries_.select("suffix", "head", "around", "n").repartitionByRange("suffix", "around").sortWithinPartitions("suffix", "around").mapInArrow(_passed, f"{ENTRY}, flag int")
+
+
+def long_matches(passed_: DataFrame) -> DataFrame:
+    """Heads of the suffixes that have a long match: in their range, or across the edge of two."""
+    edges = passed_.where(F.col("flag") == EDGE).groupBy("head").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("head")
+    return passed_.where(F.col("flag") == MATCHED).select("head").unionByName(edges)
 
 
 def suffix_array(docs: DataFrame) -> DataFrame:
-    """The array of a batch: suffix, head, around and how many entries have them, in order. Copies combine before they move."""
-    found = docs.select(utf8(text_of(docs)).alias("text")).mapInArrow(_suffixes, ENTRY)
-    return in_order(found.groupBy("suffix", "head", "around").agg(F.sum("n").alias("n")))
+    """The array of a batch: suffix, head, around, how many entries have them, and flag, in order. Copies of a piece of documents combine before they move."""
+    return passed(docs.select(utf8(text_of(docs)).alias("text")).mapInArrow(_suffixes, ENTRY))
 
 
 class SuffixFamily:
@@ -218,20 +237,18 @@ class SuffixFamily:
         return folder
 
     def insert(self, docs: DataFrame) -> None:
-        """Add a batch: build its array, merge-scan it with all levels, merge levels of equal rank, note the new state, delete what it leaves out."""
+        """Add a batch: build its array, merge it with levels of equal rank, scan it with the others, note the new state, delete what it leaves out."""
         array = self._write(suffix_array(docs), "level")
-        scan = self.read(array).mapInArrow(_collapsed, "suffix binary, head long, n long").withColumn("new", F.lit(1))
-        for level in self.levels.values():
-            scan = scan.unionByName(self.read(level).mapInArrow(_collapsed, "suffix binary, head long, n long").withColumn("new", F.lit(0)))
-        # What a file holds of a suffix is one row by now, so few rows of a suffix meet.
-        ordered = scan.repartitionByRange("suffix").sortWithinPartitions("suffix")
-        self.matches.append(self._write(ordered.mapInArrow(_scanned, "head long"), "matches"))
         rank, old = 0, []
         while rank in self.levels:
-            other = self.levels.pop(rank)
-            both = in_order(self.read(other).unionByName(self.read(array)))
-            old += [other, array]
-            array, rank = self._write(both.mapInArrow(_counted, ENTRY), "level"), rank + 1
+            old.append(self.levels.pop(rank))
+            rank += 1
+        if self.levels:
+            scan = passed(self._all([array, *self.levels.values()])).where(F.col("flag") != ALONE).select("head", "flag")
+            self.matches.append(self._write(scan, "matches"))
+        if old:
+            old.append(array)
+            array = self._write(passed(self._all(old)), "level")
         self.levels[rank] = array
         self.state += 1
         rows = [*self.levels.items(), *((-1 - i, m) for i, m in enumerate(self.matches))]
@@ -240,15 +257,13 @@ class SuffixFamily:
         for folder in [*old, f"state-{self.state - 1}"]:
             discard(self.spark, f"{self.path}/{folder}")
 
+    def _all(self, folders_: list[str]) -> DataFrame:
+        return reduce(DataFrame.unionByName, [self.read(f) for f in folders_])
+
     def repeated(self) -> DataFrame:
         """head, around, n, surroundings (of the head) for each entry whose suffix has a long match."""
-        every = None
-        for folder in self.levels.values():
-            level = self.read(folder).select("head", "around", "n")
-            every = level if every is None else every.unionByName(level)
-        heads = self.read(self.matches[0])
-        for m in self.matches[1:]:
-            heads = heads.union(self.read(m))
+        every = self._all(list(self.levels.values())).select("head", "around", "n")
+        heads = reduce(DataFrame.unionByName, [long_matches(self.read(f)) for f in [*self.levels.values(), *self.matches]])
         if len(self.levels) > 1:
             every = every.groupBy("head", "around").agg(F.sum("n").alias("n"))
         found = every.join(heads.distinct().hint("merge"), "head", "left_semi")  # alone in its stage, so a hot head's rows can be split

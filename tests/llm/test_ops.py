@@ -435,6 +435,12 @@ def test_op5_arrays_are_in_byte_order(spark):
     for f in sorted(x.name for x in pathlib.Path(path.removeprefix("file://")).glob("part-*")):  # files in the order of their ranges
         found += [(bytes(r["suffix"]), r["around"], r["n"]) for r in spark.read.parquet(f"{path}/{f}").collect()]
     assert [x[:2] for x in found] == sorted(x[:2] for x in found) and len({x[:2] for x in found}) == len(found)
+    heads = {r["head"] for r in suffixes.long_matches(spark.read.parquet(path)).collect()}
+    of = {bytes(r["suffix"]): r["head"] for r in spark.read.parquet(path).collect()}
+    total = Counter()
+    for x, _, n in found:
+        total[x] += n
+    assert heads == {of[x] for x, n in total.items() if n > 1} and 0 < len(heads) < len(of)
     texts = [(t or "").encode() for _, t, *_ in rows]
     assert all(any(s in t for t in texts) for s, _, _ in found)
     m = np.frombuffer(b"".join(s for s, _, _ in found), np.uint8).reshape(-1, suffixes.GRAM)
