@@ -11,8 +11,10 @@ The pairwise term needs only sums over a document's features, so scoring is line
 Neither doc_id nor lang, source or labels is an input of a score. The model is fitted on at most SAMPLE labelled rows (those of the least hash of doc_id, so
 the choice is fixed), given to the driver as feature arrays of at most BUCKETS + statistics numbers a row. Scoring covers every row and whole texts.
 
-Defined results: null and empty texts have the features of an empty text and are scored; repeated rows get equal scores; rows without doc_id are scored too and
-count as not held out; with no labelled rows, or of one class only, the score is the share of label 1 (0.5 without rows); an empty table gives no rows.
+Defined results: null and empty texts have the features of an empty text and are scored; repeated rows and ties get equal scores; rows without doc_id are scored
+too and count as not held out; of an id with several texts the one of the least hash is the training row, and of several labels the least; with no labelled rows, or of
+one class only, the score is the share of label 1 (0.5 without rows); an empty table gives no rows; columns of other names are carried along, and the score takes a
+name that none of them has. Very long texts are worked through whole, in blocks.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tessera.llm.common import table, text_of
 from tessera.llm.textnum import IS_WORD, U, buffers, copies, slices, words
@@ -163,7 +166,8 @@ def sample_of(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFra
     wanted = wanted.where(F.crc32(F.col("id").cast("string").cast("binary")) % 4 != 2)
     wanted = wanted.groupBy("id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(most)
     d = docs.select(docs["doc_id"].cast("long").alias("id"), text_of(docs).alias("text"))
-    return d.join(F.broadcast(wanted), "id").select("id", "label", "text")
+    own = d.join(F.broadcast(wanted), "id")
+    return own.groupBy("id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
@@ -172,14 +176,15 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     given = pc.struct_field(rows.column("label"), [0]).to_numpy(), pc.struct_field(rows.column("label"), [1]).to_numpy()
     lists = {c: rows.column(c).combine_chunks() for c in ("bucket", "value", "stats")} if rows.num_rows else {}
     flat = {c: (x.flatten().to_numpy(), x.offsets.to_numpy() - x.offsets[0].as_py()) for c, x in lists.items()}
-    # In order of id, so that the fit doesn't depend on how rows arrive; a repeated row counts again, up to twice the sample.
-    order = np.argsort(given[0], kind="stable")[: 2 * most]
+    # In order of id, so that the fit doesn't depend on how rows arrive.
+    order = np.argsort(given[0], kind="stable")
     parts = [tuple(x[at[i] : at[i + 1]] for x, at in flat.values()) for i in order]
     return fit(parts, given[1][order].astype(float))
 
 
-def score(docs: DataFrame, model: Model, name: str = "_score") -> DataFrame:
-    """``docs``, which must have a column text, with a column ``name``."""
+def score(docs: DataFrame, model: Model, name: str = "_score", keep: list[str] | None = None) -> DataFrame:
+    """The columns in ``keep`` (all without it) of ``docs``, which must have a column text, with a column ``name``."""
+    kept = docs.columns if keep is None else keep
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -187,10 +192,9 @@ def score(docs: DataFrame, model: Model, name: str = "_score") -> DataFrame:
                 row, bucket, value, stats = features(batch.column("text"))
                 z, _ = forward(model, row, bucket, value, standard(model, stats))
                 p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-                yield batch.append_column(name, pa.array(p))
+                yield batch.select(kept).append_column(name, pa.array(p))
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(scored, f"{fields}, `{name}` double")
+    return docs.mapInArrow(scored, StructType([*(docs.schema[c] for c in kept), StructField(name, DoubleType())]))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -204,6 +208,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = train(docs, labels)
-    out = score(docs.select("doc_id", text_of(docs).alias("text")), model)
+    out = score(docs.select("doc_id", text_of(docs).alias("text")), model, keep=["doc_id"])
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))

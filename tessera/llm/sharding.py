@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import materialize, table, text_of
 
 #: Buckets into which a shard's rows are cut so that slots are numbered in parallel: as many as HEX_DIGITS tell. Bounds the offset table.
-HEX_DIGITS = 3
+HEX_DIGITS = 2
 
 
 @dataclass(frozen=True)
@@ -103,7 +103,7 @@ def with_slots(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     """Number each shard's rows from 0 without gaps.
 
     Rows are numbered within (shard, hash bucket) groups, and each group starts at the number of rows in the
-    shard's earlier buckets. The offset table has at most 4096 rows a shard, whatever the input, so it is broadcast.
+    shard's earlier buckets. The offset table has at most 256 rows a shard, whatever the input, so it is broadcast.
     The order within a bucket is by key and then size and CRC, so only rows equal in all of them may swap slots.
     """
     rows = rows.withColumn("_b", hashed(rows[key], rows["text_crc32"].cast("string"), HEX_DIGITS))

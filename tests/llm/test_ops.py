@@ -687,6 +687,36 @@ def test_op10_held_out(spark):
     assert kept.columns == data.frame(spark, docs, clash=True).columns and 350 < kept.count() < 450
 
 
+def test_op10_on_the_given_labels(spark):
+    """Held-out labels of the test tables, and scores against a plain version of the formula over every pair of features."""
+    sf = "/root/testdata/sf0.01"
+    label = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = quality.op10_quality(spark, sf).collect()
+    held = [(label[r["doc_id"]], r["score"], r["predicted"]) for r in rows if r["held_out"] and label.get(r["doc_id"]) is not None]
+    good, bad = [s for y, s, _ in held if y == 1], [s for y, s, _ in held if y == 0]
+    auc = np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad])
+    right = np.mean([y == p for y, _, p in held])
+    print("held-out rows", len(held), "AUC", round(float(auc), 3), "accuracy at 0.7", round(float(right), 3))
+    assert auc > 0.9 and right > 0.8
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
+    model = quality.train(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    for r in quality.score(docs, model).collect():
+        row, bucket, value, stats = quality.features(pa.array([r["text"]]))
+        x = np.zeros(quality.BUCKETS + quality.STATISTICS)
+        x[bucket], x[quality.BUCKETS :] = value, quality.standard(model, stats)[0]
+        own = np.flatnonzero(x)
+        vx = model.factor[own] * x[own, None]
+        z = model.bias + model.weight @ x + (np.triu(vx @ vx.T, 1)).sum()
+        assert r["_score"] == pytest.approx(1 / (1 + np.exp(-np.clip(z, -30, 30))), abs=1e-9)
+
+
+def test_op10_many_columns(spark):
+    d = data.frame(spark, data.documents()[:8])
+    d = d.withColumn("wide", F.struct(*[F.lit(i).alias(f"c{i}") for i in range(40)]))
+    out = quality.score(d, quality.train(d, spark.createDataFrame([], "doc_id long, quality int")))
+    assert out.columns == [*d.columns, "_score"] and out.select("wide.c39").first()[0] == 39
+
+
 def test_op10_linear_time_identity():
     rng = np.random.default_rng(2)
     n = quality.BUCKETS + quality.STATISTICS
