@@ -1,4 +1,9 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next.
+
+Every stage takes null texts as empty, keeps rows of null doc_id by the same rules as others, treats each row of a repeated doc_id or text by itself
+where its docstring says nothing else, gives no rows for an empty table, and carries columns of any name along, also those that are named like columns its
+operator makes. Very long texts are worked through whole. Ties are decided as each docstring says.
+"""
 
 from __future__ import annotations
 
@@ -17,27 +22,27 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps; it is fitted on the labelled ones among ``docs``."""
+    """Documents that score 0.7 or more; the classifier is fitted on the labelled ones among ``docs``. A score of exactly 0.7 stays; repeated rows score alike; without labels nothing tells good from bad, every score is 0.5 and no document stays."""
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group of near copies."""
+    """One document of each group of near copies: that of the least id, of those the least text hash. Rows without an id stand behind those with one; a text that is no near copy of another always stays, and of wholly equal rows one does."""
     return keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
+    """Documents that hold no window of a benchmark item. Repeated rows share their fate; without a benchmark all stay."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents thinned to the target weights. No rate is above 1, so none comes twice and clean documents keep theirs."""
+    """Documents thinned to the target weights. No rate is above 1, so none comes twice and clean documents keep theirs; the draw of a row goes by doc_id and text, so equal rows share it. Without labels all rates are 1."""
     return mix(docs, table(spark, sf_dir, "labels"), most=1.0)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each document goes: doc_id, lang, source, size, checksum, shard and slot."""
+    """Where each document goes: doc_id, lang, source, size, checksum, shard and slot. Rows of null doc_id share a shard; ties within a slot bucket go by size and checksum."""
     return shard_documents(docs, keep=tuple(c for c in ("lang", "source") if c in docs.columns))
 
 
