@@ -272,10 +272,13 @@ def placed(df: DataFrame, labels: DataFrame, by: str, name: str) -> DataFrame:
 def several(members: DataFrame) -> DataFrame:
     """The rows of buckets with documents of several components.
 
-    Joins by bucket ask for a sort-merge join: Spark splits its large partitions, but not those of a join that it has turned into a broadcast.
+    Joins by bucket or group ask for a sort-merge join and read the aggregated side from a written table: Spark splits the large partitions
+    of such a join, but not those of one that it has turned into a broadcast or that shares its stage with the aggregation.
     """
-    mixed = members.groupBy("bucket").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("bucket")
-    return keep(members.join(mixed.hint("merge"), "bucket", "left_semi"))
+    mixed = keep(members.groupBy("bucket").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("bucket"))
+    found = keep(members.join(mixed.hint("merge"), "bucket", "left_semi"))
+    drop(mixed)
+    return found
 
 
 def compare_rest(members: DataFrame, labels: DataFrame, elements: DataFrame) -> DataFrame | None:
@@ -291,16 +294,17 @@ def compare_rest(members: DataFrame, labels: DataFrame, elements: DataFrame) ->
     if not left.limit(1).count():
         drop(open_, left)
         return None
-    largest = left.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket").agg(F.max(F.struct("k", (-F.col("c")).alias("c"))).alias("m")).select("bucket", (-F.col("m.c")).alias("big"))
+    sizes = left.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("k"))
+    largest = keep(sizes.groupBy("bucket").agg(F.max(F.struct("k", (-F.col("c")).alias("c"))).alias("m")).select("bucket", (-F.col("m.c")).alias("big")))
     tagged = keep(left.join(largest.hint("merge"), "bucket"))
     inside, outside = tagged.where("c = big"), tagged.where("c <> big")
-    crowd = outside.groupBy("bucket").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("bucket")
-    among = outside.join(crowd, "bucket", "left_semi").select(F.lit(1).alias("kind"), F.col("bucket").alias("group"), "id", "c", "room")
+    crowd = keep(outside.groupBy("bucket").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("bucket"))
+    among = outside.join(crowd.hint("merge"), "bucket", "left_semi").select(F.lit(1).alias("kind"), F.col("bucket").alias("group"), "id", "c", "room")
     to_big = lambda df: df.select(F.lit(0).alias("kind"), F.col("big").alias("group"), "id", "c", "room").distinct()
     role = lambda df, v: df.withColumn("visitor", F.lit(v))
     rows = keep(role(to_big(inside), 0).unionByName(role(to_big(outside), 1)).unionByName(role(among, 0)).unionByName(role(among, 1)))
-    count = rows.groupBy("kind", "group").agg(F.count_if(F.col("visitor") == 0).alias("b"), F.count_if(F.col("visitor") == 1).alias("v"))
-    sized = rows.join(count, ["kind", "group"]).withColumn("bs", F.ceil(F.col("b") / BLOCK).cast("int")).withColumn("vs", F.ceil(F.col("v") / BLOCK).cast("int"))
+    count = keep(rows.groupBy("kind", "group").agg(F.count_if(F.col("visitor") == 0).alias("b"), F.count_if(F.col("visitor") == 1).alias("v")))
+    sized = rows.join(count.hint("merge"), ["kind", "group"]).withColumn("bs", F.ceil(F.col("b") / BLOCK).cast("int")).withColumn("vs", F.ceil(F.col("v") / BLOCK).cast("int"))
     own_part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     base = sized.where("visitor = 0").withColumn("i", own_part("bs")).withColumn("j", F.explode(every("vs")))
@@ -309,7 +313,7 @@ def compare_rest(members: DataFrame, labels: DataFrame, elements: DataFrame) ->
     dealt = cells.join(elements, "id").select("kind", "group", "i", "j", "visitor", "id", "c", "room", "elements")
     sorted_ = dealt.repartition("kind", "group", "i", "j").sortWithinPartitions("kind", "group", "i", "j", "visitor")
     links = keep(sorted_.mapInArrow(_linked, "a long, b long"))
-    drop(open_, left, tagged, rows)
+    drop(open_, left, largest, tagged, crowd, rows, count)
     release(spark)
     return links
 
