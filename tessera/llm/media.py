@@ -340,3 +340,14 @@ def decode_media(media: DataFrame) -> DataFrame:
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode_media(store_media(table(spark, sf_dir, "documents"), work_dir(spark, "media")))
+
+
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of ``op4_media`` that SQL can express: what was stored and read back."""
+    return op4_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+PAYLOAD_SQL = """
+    WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+    p AS (SELECT doc_id, b, b || unhex(repeat('00', CASE WHEN octet_length(b) = 0 THEN 64 ELSE (64 - octet_length(b) % 64) % 64 END)) AS payload FROM d)
+    SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(octet_length(payload) AS BIGINT) AS payload_bytes, sha256(payload) AS payload_sha256 FROM p"""

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import drop, keep, materialize, release, table, text_of
 from tessera.llm.components import components
-from tessera.llm.textnum import U, buffers, by_key, copies, mix, shingles, slices, words
+from tessera.llm.textnum import FOLD, IS_WORD, U, buffers, by_key, copies, mix, shingles, slices, words
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -43,6 +43,8 @@ BANDS, ROWS = 32, 5
 SLOTS = BANDS * ROWS
 #: Documents on either side of a block of comparisons.
 BLOCK = 1000
+#: Bytes as words have them: A-Z in lower case, a space for what is in no word.
+PLAIN = np.where(IS_WORD, FOLD, 32).astype(np.uint8).tobytes()
 _STEP = U(0xD1B54A32D192ED03)
 
 
@@ -106,12 +108,18 @@ def band_hashes(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return h.view(np.int64)
 
 
+def word_digest(text: bytes) -> bytes:
+    """The first 16 bytes of the SHA-256 of a text's words, A-Z in lower case, with one space between them."""
+    return hashlib.sha256(b" ".join(text.translate(PLAIN).split())).digest()[:16]
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, 1, 1 << 20):
-            hashes, _, at = words(*buffers(batch.column(1)))
+            data, place = buffers(batch.column(1))
+            hashes, _, at = words(data, place)
             n = batch.num_rows
-            digest = [hashlib.blake2b(hashes[a:b].tobytes(), digest_size=16).digest() for a, b in zip(at[:-1], at[1:], strict=True)]
+            digest = [word_digest(data[a:b].tobytes()) for a, b in zip(place[:-1], place[1:], strict=True)]
             keys, key_at = shingles(hashes, at, SHINGLE)
             total = np.diff(key_at)
             row, key, count = copies(keys, np.repeat(np.arange(n), total))
@@ -336,3 +344,17 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+#: All pairs of distinct texts that share a shingle, and what can be reached over their links.
+OP1_SQL = r"""
+    WITH RECURSIVE d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    said AS (SELECT k, doc_id, w, substr(sha256(array_to_string(w, ' ')), 1, 32) AS digest, CASE WHEN len(w) = 0 THEN 0 ELSE greatest(len(w) - 4, 1) END AS total FROM d),
+    t AS (SELECT digest, any_value(w) AS w, any_value(total) AS total FROM said GROUP BY digest),
+    g AS (SELECT digest, total, s, count(*) AS n FROM (SELECT digest, total, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT *, unnest(range(1, total + 1)) AS i FROM t)) GROUP BY ALL),
+    link AS (SELECT x.digest AS a, y.digest AS b FROM g x JOIN g y ON x.s = y.s AND x.digest <> y.digest
+             GROUP BY x.digest, y.digest HAVING 5 * sum(least(x.n, y.n)) >= 4 * (any_value(x.total) + any_value(y.total) - sum(least(x.n, y.n)))),
+    reach AS (SELECT digest AS a, digest AS b FROM t UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+    part AS (SELECT a AS digest, min(b) AS class_key FROM reach GROUP BY a),
+    class AS (SELECT class_key, min(doc_id) AS class_id FROM part JOIN said USING (digest) GROUP BY class_key)
+    SELECT doc_id, class_id, class_key, CAST(total AS BIGINT) AS total FROM said JOIN part USING (digest) JOIN class USING (class_key)"""

@@ -508,3 +508,20 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES, family: SuffixFamily
 
 def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+#: Every 200-byte string of the table by its digest.
+OP5_SQL = """
+    WITH d AS (SELECT row_number() OVER () AS k, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+    s AS (SELECT k, i, sha256(b[i : i + 199]) AS h FROM (SELECT k, b, unnest(range(1, octet_length(b) - 198)) AS i FROM d WHERE octet_length(b) >= 200)),
+    r AS (SELECT k, i FROM s QUALIFY count(*) OVER (PARTITION BY h) > 1),
+    g AS (SELECT k, i, sum(CASE WHEN i <= p + 200 THEN 0 ELSE 1 END) OVER (PARTITION BY k ORDER BY i) AS run
+          FROM (SELECT k, i, lag(i) OVER (PARTITION BY k ORDER BY i) AS p FROM r)),
+    span AS (SELECT k, min(i) AS a, max(i) + 199 AS z FROM g GROUP BY k, run),
+    gap AS (SELECT k, coalesce(lag(z) OVER (PARTITION BY k ORDER BY a), 0) + 1 AS a, a - 1 AS z FROM span
+            UNION ALL SELECT k, coalesce(max(span.z), 0) + 1, any_value(octet_length(b)) FROM d LEFT JOIN span USING (k) GROUP BY k),
+    kept AS (SELECT k, string_agg(hex(b[a : z]), '' ORDER BY a) AS x FROM gap JOIN d USING (k) WHERE a <= z GROUP BY k),
+    n AS (SELECT k, count(*) AS n_spans, sum(z - a + 1) AS n_removed FROM span GROUP BY k)
+    SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+           sha256(unhex(coalesce(x, ''))) AS kept_sha256
+    FROM d LEFT JOIN kept USING (k) LEFT JOIN n USING (k)"""
