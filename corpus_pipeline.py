@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm.common import materialize, table
+from tessera.llm.common import drop, materialize, table
 from tessera.llm.decontamination import drop_contaminated
 from tessera.llm.minhash import keep_one
 from tessera.llm.mixing import mix
@@ -59,10 +59,13 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage; every stage before it is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage; every stage before it is written to the shared folder and read again, and deleted once the next is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            drop(before)
+        before = docs
     for _, stage in STAGES[-1:]:
         docs = stage(spark, docs, sf_dir)
     return docs
