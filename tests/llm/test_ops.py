@@ -11,6 +11,7 @@ import time
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -18,7 +19,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontamination, media, minhash, mixing, pii, quality, sharding, suffixes, textnum, warc
+from tessera.llm import chat, decontamination, media, minhash, mixing, pii, quality, queries, sharding, suffixes, textnum, warc
 from tessera.llm.common import work_dir
 from tests.llm import data
 
@@ -740,6 +741,19 @@ def test_op10_hard_cases(spark):
 # Empty tables
 
 
+@pytest.mark.parametrize("name", ["op1_minhash", "op5_suffixes", "media_payloads"])
+def test_sql_on_hard_cases(spark, tmp_path, name):
+    """Query and SQL agree on null ids and texts, texts without words, repeated rows and one id on several texts."""
+    data.frame(spark).withColumn("text", F.col("text").cast("string")).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.QUERIES[name](spark, str(tmp_path))
+    with duckdb.connect() as c:
+        c.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        cursor = c.execute(queries.ORACLE_SQL[name])
+        columns = [d[0] for d in cursor.description]
+        wanted = Counter(cursor.fetchall())
+    assert Counter(tuple(r) for r in got.select(*columns).collect()) == wanted and sorted(got.columns) == sorted(columns)
+
+
 def test_empty_tables(spark):
     d = data.frame(spark, [])
     assert minhash.near_duplicates(d).count() == 0 and minhash.keep_one(d).count() == 0
