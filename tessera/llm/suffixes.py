@@ -1,7 +1,7 @@
 """Removal of repeated 200-byte strings with a logarithmic family of sparse suffix arrays.
 
 A suffix array entry stands for a sampled suffix. Of each 200-byte window the suffix that starts with the least 73-byte gram (the
-leftmost, by hash) is sampled, so equal windows sample the same suffix at the same depth, wherever they stand, and a text has about one entry in 64 bytes.
+leftmost, by 42 bits of hash) is sampled, so equal windows sample the same suffix at the same depth, wherever they stand, and a text has about one entry in 64 bytes.
 A suffix is held by its first 73 bytes - the depth that every window of an entry covers, so windows can only be equal if their suffixes have a common prefix
 of at least that length. An entry also has ``head``, a fingerprint of these bytes by which documents find it again, and ``around``, one of all bytes that its windows cover.
 
@@ -48,6 +48,12 @@ WINDOWS = 128
 GRAM = LENGTH - WINDOWS + 1
 #: Windows of a long document that are worked on at a time.
 PIECE = 2 << 20
+#: Low bits of a sampling value that hold a place in a piece; the bits above are of the gram's hash. Equal windows need the same number everywhere.
+PLACE_BITS = 22
+#: Bytes of text that are worked on at a time: the arrays of these stay in a core's cache.
+BLOCK = 1 << 18
+#: Sampled suffixes among which equal ones are counted before they leave a task.
+TOGETHER = 1 << 14
 #: Batches in which documents enter the index family where all are given at once.
 BATCHES = 3
 #: Surroundings of a head that are compared in one place.
@@ -70,7 +76,11 @@ def entries(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
         return empty, empty, empty, empty, empty, empty
     total, down = prefix_sums(data)
     gram = mix((total[GRAM:] - total[:-GRAM]) * down[: len(data) - GRAM + 1])
-    least = gram
+    # A place in the low bits: the least of a window is the leftmost of its least grams, and says where it stands.
+    assert len(gram) <= 1 << PLACE_BITS
+    places = U((1 << PLACE_BITS) - 1)
+    least = gram & ~places
+    least |= np.arange(len(gram), dtype=U)
     step = 1
     while step < WINDOWS:
         least = np.minimum(least[:-step], least[step:])
@@ -80,32 +90,21 @@ def entries(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     edge = np.zeros(len(least) + 1, np.int64)
     np.add.at(edge, at[:-1][has], 1)
     np.add.at(edge, last[has] + 1, -1)
-    valid = np.cumsum(edge[:-1]) > 0
-    new = valid.copy()
+    new = np.cumsum(edge[:-1]) > 0
     new[1:] &= least[1:] != least[:-1]
     new[at[:-1][has]] = True
     first = np.flatnonzero(new)
     doc = np.searchsorted(at, first, "right") - 1
     final = np.minimum(np.append(first[1:] - 1, len(least)), last[doc])
-    docs, heads, arounds, places, firsts, finals = [], [], [], [], [], []
-    while len(first):
-        place = np.empty(len(first), np.int64)
-        for i in range(0, len(first), 8192):
-            f = first[i : i + 8192]
-            place[i : i + 8192] = f + gram[f[:, None] + np.arange(WINDOWS)].argmin(1)
-        end = np.minimum(final, place)
-        around = mix((total[end + LENGTH] - total[first]) * down[first])
-        around = mix(around + (place - first).astype(U) * U(0x9E3779B97F4A7C15) + (end - first).astype(U) * U(0xD1B54A32D192ED03))
-        for out, x in zip((docs, heads, arounds, places, firsts, finals), (doc, gram[place].view(np.int64), around.view(np.int64), place - at[doc], first - at[doc], end - at[doc]), strict=True):
-            out.append(x)
-        more = final > place  # the same least value again, further on: a periodic text
-        first, final, doc = place[more] + 1, final[more], doc[more]
-    return tuple(np.concatenate(x) for x in (docs, heads, arounds, places, firsts, finals))
+    place = (least[first] & places).astype(np.int64)
+    around = mix((total[final + LENGTH] - total[first]) * down[first])
+    around = mix(around + (place - first).astype(U) * U(0x9E3779B97F4A7C15) + (final - first).astype(U) * U(0xD1B54A32D192ED03))
+    return doc, gram[place].view(np.int64), around.view(np.int64), place - at[doc], first - at[doc], final - at[doc]
 
 
 def pieces(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, int]]:
     """Some rows with their bytes and offsets; a long row comes in pieces, with the place of each in it."""
-    for part in slices(batch, column, 1 << 20):
+    for part in slices(batch, column, BLOCK):
         data, at = buffers(part.column(column))
         for a in range(0, max(1, len(data) - LENGTH + 1), PIECE) if part.num_rows == 1 else [0]:
             piece = data[a : a + PIECE + LENGTH - 1] if part.num_rows == 1 else data
@@ -117,24 +116,31 @@ ENTRY = "suffix binary, head long, around long, n long"
 ALONE, MATCHED, EDGE = 0, 1, 2
 
 
-def suffix_bytes(data: np.ndarray, at: np.ndarray) -> pa.Array:
-    """The first GRAM bytes of the suffixes at some places of the data."""
-    flat = data[at[:, None] + np.arange(GRAM)].reshape(-1)
-    return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((np.arange(len(at) + 1) * GRAM).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(flat))])
+def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sampled suffixes of some texts; equal ones among about TOGETHER are counted."""
 
+    def counted(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        suffix, head, around = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((around, head))
+        new = np.ones(len(order), bool)
+        new[1:] = (head[order][1:] != head[order][:-1]) | (around[order][1:] != around[order][:-1])
+        first = np.flatnonzero(new)
+        one = order[first]
+        n = np.diff(np.append(first, len(order))).astype(np.int64)
+        column = pa.Array.from_buffers(pa.binary(), len(one), [None, pa.py_buffer((np.arange(len(one) + 1) * GRAM).astype(np.int32)), pa.py_buffer(suffix[one])])
+        return pa.record_batch([column, pa.array(head[one]), pa.array(around[one]), pa.array(n)], names=["suffix", "head", "around", "n"])
 
-def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sampled suffixes of some texts; equal ones of a piece are counted."""
+    held: list[tuple[np.ndarray, ...]] = []
     for batch in batches:
         for _, data, at, _ in pieces(batch, 0):
             doc, head, around, place, _, _ = entries(data, at)
-            order = np.lexsort((around, head))
-            new = np.ones(len(order), bool)
-            new[1:] = (head[order][1:] != head[order][:-1]) | (around[order][1:] != around[order][:-1])
-            first = np.flatnonzero(new)
-            one = order[first]
-            n = np.diff(np.append(first, len(order))).astype(np.int64)
-            yield pa.record_batch([suffix_bytes(data, (place + at[doc])[one]), pa.array(head[one]), pa.array(around[one]), pa.array(n)], names=["suffix", "head", "around", "n"])
+            if len(doc):
+                held.append((np.lib.stride_tricks.sliding_window_view(data, GRAM)[place + at[doc]], head, around))
+            if sum(len(x[1]) for x in held) >= TOGETHER:
+                yield counted(held)
+                held = []
+    if held:
+        yield counted(held)
 
 
 def rows_of_bytes(column: pa.ChunkedArray) -> np.ndarray:
@@ -204,6 +210,15 @@ def long_matches(passed_: DataFrame) -> DataFrame:
     return passed_.where(F.col("flag") == MATCHED).select("head").unionByName(edges)
 
 
+def matched(passed_: DataFrame) -> DataFrame:
+    """head, around and n of the entries whose suffix has a long match, of a pass over all entries. What stands at edges, two rows a range, is broadcast."""
+    found = passed_.where(F.col("flag") == MATCHED).select("head", "around", "n")
+    edges = passed_.where(F.col("flag") == EDGE).select("head", "around", "n")
+    beside = found.select("head").join(F.broadcast(edges.select("head")), "head", "left_semi").distinct()
+    across = edges.select("head").unionByName(beside).groupBy("head").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    return found.unionByName(edges.join(F.broadcast(across), "head", "left_semi"))
+
+
 def suffix_array(docs: DataFrame) -> DataFrame:
     """The array of a batch: suffix, head, around, how many entries have them, and flag, in order. Copies of a piece of documents combine before they move."""
     return passed(docs.select(utf8(text_of(docs)).alias("text")).mapInArrow(_suffixes, ENTRY))
@@ -216,6 +231,7 @@ class SuffixFamily:
         self.spark, self.path = spark, path or work_dir(spark, "family")
         self.levels: dict[int, str] = {}
         self.matches: list[str] = []
+        self.whole: str | None = None  # matches of a pass over all entries, if the last batch made one
         self.state = 0
         if path:
             states = [int(n.removeprefix("state-")) for n in folders(spark, self.path) if n.startswith("state-")]
@@ -239,13 +255,14 @@ class SuffixFamily:
     def insert(self, docs: DataFrame) -> None:
         """Add a batch: build its array, merge it with levels of equal rank, scan it with the others, note the new state, delete what it leaves out."""
         array = self._write(suffix_array(docs), "level")
-        rank, old = 0, []
+        rank, old, self.whole = 0, [], None
         while rank in self.levels:
             old.append(self.levels.pop(rank))
             rank += 1
         if self.levels:
-            scan = passed(self._all([array, *self.levels.values()])).where(F.col("flag") != ALONE).select("head", "flag")
+            scan = passed(self._all([array, *self.levels.values()])).where(F.col("flag") != ALONE).select("head", "around", "n", "flag")
             self.matches.append(self._write(scan, "matches"))
+            self.whole = None if old else self.matches[-1]
         if old:
             old.append(array)
             array = self._write(passed(self._all(old)), "level")
@@ -262,11 +279,13 @@ class SuffixFamily:
 
     def repeated(self) -> DataFrame:
         """head, around, n, surroundings (of the head) for each entry whose suffix has a long match."""
-        every = self._all(list(self.levels.values())).select("head", "around", "n")
-        heads = reduce(DataFrame.unionByName, [long_matches(self.read(f)) for f in [*self.levels.values(), *self.matches]])
-        if len(self.levels) > 1:
-            every = every.groupBy("head", "around").agg(F.sum("n").alias("n"))
-        found = every.join(heads.distinct().hint("merge"), "head", "left_semi")  # alone in its stage, so a hot head's rows can be split
+        whole = next(iter(self.levels.values())) if len(self.levels) == 1 else self.whole
+        if whole:
+            found = matched(self.read(whole))
+        else:
+            every = self._all(list(self.levels.values())).select("head", "around", "n").groupBy("head", "around").agg(F.sum("n").alias("n"))
+            heads = reduce(DataFrame.unionByName, [long_matches(self.read(f)) for f in [*self.levels.values(), *self.matches]])
+            found = every.join(heads.distinct().hint("merge"), "head", "left_semi")  # alone in its stage, so a hot head's rows can be split
         found = materialize(found, "repeated")
         release(self.spark)
         many = found.groupBy("head").agg(F.count(F.lit(1)).alias("surroundings"))
@@ -409,34 +428,48 @@ def _crowd_alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch(repeated_runs(doc[hit], digest[hit], np.cumsum(apart), start[hit], np.ones(len(hit), bool)), names=["doc_id", "digest", "a", "b"])
 
 
-def covered(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Maximal runs of a list of byte ranges."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(runs):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+def covered(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of some byte ranges, by document and place."""
+    if not len(a):
+        return doc, a, b
+    apart = int(b.max()) + 1  # ranges of different documents never touch
+    a, b = a + doc * apart, b + doc * apart
+    order = np.argsort(a, kind="stable")
+    doc, a, reach = doc[order], a[order], np.maximum.accumulate(b[order])
+    first = np.flatnonzero(np.concatenate([[True], a[1:] > reach[:-1]]))
+    own = doc[first] * apart
+    return doc[first], a[first] - own, reach[np.append(first[1:], len(a)) - 1] - own
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
     for batch in batches:
-        rows = []
-        for i in range(batch.num_rows):
-            raw = batch.column(1)[i].as_buffer()
-            runs = batch.column(2)[i].as_py() or []
-            runs = covered([(r["a"], r["b"]) for r in runs])
-            digest, at, kept = hashlib.sha256(), 0, []
-            for a, b in [*runs, (raw.size, raw.size)]:
-                digest.update(raw[at:a])
-                kept.append((at, a))
-                at = b
-            rows.append((raw.size, sum(b - a for a, b in runs), len(runs), digest.hexdigest(), [{"a": a, "b": b} for a, b in kept if b > a]))
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))]
-        cols = [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, types, strict=True)]
-        yield pa.record_batch([batch.column(0), *cols], names=names)
+        data, at = buffers(batch.column(1))
+        data, at = memoryview(data), at.astype(np.int64)
+        size = np.diff(at)
+        runs = batch.column(2).flatten()
+        n = pc.fill_null(pc.list_value_length(batch.column(2)), 0).to_numpy(zero_copy_only=False)
+        doc, a, b = covered(np.repeat(np.arange(len(n)), n), *(runs.field(f).to_numpy().astype(np.int64) for f in ("a", "b")))
+        spans = np.bincount(doc, minlength=len(n))
+        edge = np.append(0, np.cumsum(spans))
+        removed = np.append(0, np.cumsum(b - a))
+        removed = removed[edge[1:]] - removed[edge[:-1]]
+        # What stays: from the start or the end of a run to the next run or the end.
+        begin, end = np.insert(b, edge[:-1], 0), np.insert(a, edge[1:], size)
+        doc = np.repeat(np.arange(len(n)), spans + 1)
+        stays = end > begin
+        doc, begin, end = doc[stays], begin[stays], end[stays]
+        kept = np.append(0, np.cumsum(np.bincount(doc, minlength=len(n))))
+        starts, stops, cut = (begin + at[doc]).tolist(), (end + at[doc]).tolist(), kept.tolist()
+        digests = []
+        for x, y in zip(cut, cut[1:], strict=False):
+            digest = hashlib.sha256()
+            for k in range(x, y):
+                digest.update(data[starts[k] : stops[k]])
+            digests.append(digest.hexdigest())
+        ranges = pa.StructArray.from_arrays([pa.array(begin), pa.array(end)], names=["a", "b"])
+        kept = pa.ListArray.from_arrays(pa.array(kept.astype(np.int32)), ranges)
+        yield pa.record_batch([batch.column(0), pa.array(size), pa.array(removed), pa.array(spans), pa.array(digests, pa.string()), kept], names=names)
 
 
 def repeated_ranges(docs: DataFrame, batches: int = BATCHES, family: SuffixFamily | None = None) -> DataFrame:

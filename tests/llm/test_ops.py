@@ -20,7 +20,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.llm import chat, decontamination, media, minhash, mixing, pii, quality, queries, sharding, suffixes, textnum, warc
-from tessera.llm.common import work_dir
+from tessera.llm.common import discard, work_dir
 from tests.llm import data
 
 
@@ -466,6 +466,44 @@ def test_op5_family_grows_over_runs(spark):
     assert sorted(map(key, suffixes.remove_repeats(d, family=again).collect())) == sorted(map(key, suffixes.remove_repeats(d, 1).collect()))
 
 
+def test_op5_repeated_reads_the_last_pass_alone(spark):
+    """Where the last pass saw all entries, its matches say what is repeated: no level is read, grouped and joined again."""
+    rows = data.documents()
+    family, once = suffixes.SuffixFamily(spark), suffixes.SuffixFamily(spark)
+    once.insert(data.frame(spark, rows))
+    want = Counter(map(tuple, once.repeated().collect()))
+    for i in range(3):
+        family.insert(data.frame(spark, rows[i::3]))
+    for folder in family.levels.values():
+        discard(spark, f"{family.path}/{folder}")
+    assert len(family.levels) == 2 and want and Counter(map(tuple, family.repeated().collect())) == want
+
+
+def test_op5_matches_across_edges(spark):
+    """Entries at the edge of a range count where their suffix is in another range too, as a match or at an edge."""
+    alone, match, edge = suffixes.ALONE, suffixes.MATCHED, suffixes.EDGE
+    rows = [(1, 1, 1, edge), (1, 2, 1, edge), (2, 3, 1, edge), (3, 4, 1, edge), (3, 5, 1, match), (3, 6, 1, match), (4, 7, 2, match), (5, 8, 1, alone)]
+    out = suffixes.matched(spark.createDataFrame(rows, "head long, around long, n long, flag int"))
+    assert sorted(map(tuple, out.collect())) == [r[:3] for r in rows if r[0] in (1, 3, 4)]
+
+
+def test_op5_cut_of_many_runs():
+    """Ranges in any order that overlap, touch or stand apart, and rows without any."""
+    rng = np.random.default_rng(5)
+    texts = [rng.bytes(k) for k in (900, 0, 3000, 250, 5)]
+    runs = [[(int(a), int(min(a + k, len(t)))) for a, k in zip(rng.integers(0, len(t) - 199, 12), rng.integers(200, 300, 12), strict=True)] if len(t) > 500 else None for t in texts]
+    runs[3] = [(50, 250), (0, 50)]
+    lists = pa.array([r and [{"a": a, "b": b} for a, b in r] for r in runs], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))
+    batch = pa.record_batch([pa.array(range(5), pa.int64()), pa.array(texts, pa.binary()), lists], names=["doc_id", "text", "runs"])
+    got = pa.Table.from_batches(suffixes._cut(iter([batch.slice(0, 2), batch.slice(2), batch.slice(0, 0)]))).to_pylist()
+    for r, t, own in zip(got, texts, runs, strict=True):
+        gone = [any(a <= k < b for a, b in own or []) for k in range(len(t))]
+        spans = sum(g and (k == 0 or not gone[k - 1]) for k, g in enumerate(gone))
+        rest = b"".join(t[x["a"] : x["b"]] for x in r["kept"])
+        assert rest == bytes(c for c, g in zip(t, gone, strict=True) if not g) and r["kept_sha256"] == sha(rest)
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"]) == (len(t), sum(gone), spans)
+
+
 def test_op5_pieces_cover_long_texts(monkeypatch):
     monkeypatch.setattr(suffixes, "PIECE", 3000)
     raw = np.random.default_rng(0).integers(97, 100, 10_000).astype(np.uint8)
