@@ -202,3 +202,48 @@ def test_recall_appends(engine):
 def test_missing_root(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         Engine(spark, str(tmp_path / "none"))
+
+
+def moved_rows(spark, seen):
+    sc = spark.sparkContext
+    listed = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    new = [x for x in sc._jvm.scala.jdk.javaapi.CollectionConverters.asJava(listed) if x.stageId() not in seen]
+    seen.update(x.stageId() for x in new)
+    return sum(x.shuffleWriteRecords() for x in new)
+
+
+def test_usages_move_no_pairs(spark, monkeypatch):
+    """300 symbols of a name and 300 files that say it: 90,000 pairs, of which none goes through a shuffle; homes, relations and imports are left out exactly."""
+    from pyspark.sql import functions as F
+
+    from tessera.plans import engine as plans
+
+    monkeypatch.setattr(plans, "BLOCK", 7, raising=False)
+    monkeypatch.setattr(plans, "BROADCAST_IDS", 100, raising=False)
+    n, at = 300, spark.range(300).select("id", F.concat(F.lit("d/f"), F.col("id").cast("string")).alias("path"))
+    symbol = F.concat(F.lit("symbol:"), "path", F.lit(":trash:1"))
+    own = at.select(symbol.alias("symbol_id"), "path", F.lit("trash").alias("name"))
+    # the first chunk of an even file doesn't say the name; at line 9 two chunks do
+    said = lambda line, what: at.select(F.concat("path", F.lit(f":{line}-{what}")).alias("chunk_id"), "path", F.lit(line).alias("line_start"), F.when((F.col("id") % 2 == 0) & (F.lit(line) == 1), "no trashes").otherwise(f"a\n trash {what}").alias("text"))
+    chunks = said(1, 1).unionByName(said(9, 2)).unionByName(said(9, 3))
+    i = F.col("id")
+    edge = lambda df, s, t, kind: df.select(s.alias("source_ref"), t.alias("target_ref"), F.lit(kind).alias("relation_type"), F.lit(1.0).alias("weight"))
+    ref = lambda k, head, tail: F.concat(F.lit(head + "d/f"), k.cast("string"), F.lit(tail))
+    relations = edge(at, ref((i + 1) % n, "symbol:", ":x:1"), symbol, "references").unionByName(edge(at, ref((i + 1) % n, "symbol:", ":y:2"), symbol, "references")).unionByName(edge(at, ref((i + 2) % n, "file:", ""), ref(i, "file:", ""), "imports")).unionByName(edge(at, ref((i + 1) % n, "file:", ""), ref(i, "file:", ""), "imports"))
+    postings = chunks.select(F.lit("trash").alias("term"), F.concat(F.lit("chunk:"), "chunk_id").alias("ref"), F.lit("chunk").alias("of"))
+    e = Engine(spark, store.Tables(spark, "t", {"symbols": own, "chunks": chunks, "relations": relations, "postings": postings}))
+    want = {}
+    for s in range(n):
+        for p in (k for k in range(n) if k != s):
+            one = (2, None, 9, "trash 2", "fts") if p % 2 == 0 else (2, None, 1, "trash 1", "fts")
+            one = (1, "imports", None, None, "relation") if p == (s + 2) % n and p % 2 else one
+            want[f"symbol:d/f{s}:trash:1", f"d/f{p}"] = [(0, "references", None, None, "relation")] * 2 if p == (s + 1) % n else [one]
+    seen: set[int] = set()
+    moved_rows(spark, seen)
+    got: dict = {}
+    for r in e.usages_df("trash").select("symbol_id", "path", "ord", "relation_type", "line", "context", "source").toLocalIterator():
+        got.setdefault((r[0], r[1]), []).append(tuple(r[2:]))
+    assert got == want
+    assert moved_rows(spark, seen) < 20_000
+    assert {r["path"] for r in e.usages_df("trash", "d/f12").collect()} == {f"d/f{k}" for k in (12, *range(120, 130))}
+    assert e.usages_df("none").collect() == []
