@@ -10,11 +10,26 @@ from tessera.functions import paths, text
 from tessera.functions.columns import col
 
 
+#: Characters of a summary, and of the head of a text that it is mostly found in.
+SUMMARY = 180
+HEAD = 400
+
+
+def leading(body: Column | str) -> Column:
+    """The first six non-blank lines in one, 180 characters at most.
+
+    The head of the text says it where the head has enough of them: a line that the head cuts only lacks its end. Otherwise the whole text is cut into lines.
+    """
+    t = col(body)
+    joined = lambda x: F.array_join(F.slice(F.filter(F.transform(text.lines(x), text.strip), lambda y: y != ""), 1, 6), " ")
+    decided = lambda h: F.when((F.length(t) <= HEAD) | (F.length(h) >= SUMMARY), h).otherwise(joined(t))
+    return F.substring(F.get(F.transform(F.array(joined(F.substring(t, 1, HEAD))), decided), F.lit(0)), 1, SUMMARY)  # binds the head, which is used twice
+
+
 def snippet(body: Column | str) -> Column:
-    """The first six non-blank lines in one, 180 characters at most."""
-    said = F.filter(F.transform(text.lines(body), text.strip), lambda x: x != "")
-    short = F.substring(F.array_join(F.slice(said, 1, 6), " "), 1, 180)
-    return F.when(F.size(said) > 0, short).otherwise(F.lit("Minimal textual content."))
+    """The leading lines, or that there are none."""
+    short = leading(body)
+    return F.when(short != "", short).otherwise(F.lit("Minimal textual content."))
 
 
 def file_features(contents: DataFrame, policy: config.Policy | None = None, now: str | None = None) -> DataFrame:

@@ -98,10 +98,20 @@ def postings(docs: DataFrame, *keep: str, tokens: str = "tokens") -> DataFrame:
     return each.groupBy("term", "ref", "length", *keep).agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25_from_postings(found: DataFrame, query: list[str], n: int, mean: float) -> DataFrame:
-    """ref, bm25 of the documents that hold a query word."""
+def postings_of(words: list[str], docs: DataFrame, *keep: str, tokens: str = "tokens") -> DataFrame:
+    """The rows of ``postings`` for some terms, straight from the documents: other terms are counted nowhere."""
+    counted = F.array(*[F.struct(F.lit(w).alias("term"), text.occurrences(F.col(tokens), w).cast("long").alias("tf")) for w in sorted(set(words))])
+    if not words:
+        return postings(docs.limit(0), *keep, tokens=tokens)
+    each = docs.select("ref", *keep, F.size(tokens).alias("length"), F.explode(counted).alias("p")).where("p.tf > 0")
+    return each.groupBy("p.term", "ref", "length", *keep).agg(F.sum("p.tf").alias("tf"))
+
+
+def bm25_from_postings(found: DataFrame, query: list[str], n: int, mean: float, counts: dict[str, int] | None = None) -> DataFrame:
+    """ref, bm25 of the documents that hold a query word. ``counts``: documents a word, where they are known."""
     hits = found.where(F.col("term").isin(sorted(set(query))))
-    counts = {r["term"]: r["n"] for r in hits.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if counts is None:
+        counts = {r["term"]: r["n"] for r in hits.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}
     parts = [F.when(F.col("term") == t, term_score(F.col("tf").cast("double"), F.col("length").cast("double"), n, mean, c) * float(query.count(t))).otherwise(0.0) for t, c in counts.items()]
     return hits.groupBy("ref").agg(F.sum(added(parts)).alias("bm25")) if parts else hits.select("ref", F.lit(0.0).alias("bm25")).limit(0)
 

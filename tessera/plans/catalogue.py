@@ -173,8 +173,7 @@ SQL_SCORED = f"""e AS (SELECT *, {sql_exact(EXACT_ASKED)} + {sql_overlap("regexp
 
 
 def summarized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = F.filter(F.transform(text.lines("text"), text.strip), lambda x: x != "")
-    return files(spark, sf_dir).withColumn("summary", F.substring(F.array_join(F.slice(said, 1, 6), " "), 1, 180))
+    return files(spark, sf_dir).withColumn("summary", features.leading("text"))
 
 
 @query("file_exact_score", f"WITH {SQL_FILES}, {SQL_SUMMARY}, {SQL_SCORED} SELECT path, round(exact, 6) AS score FROM e WHERE exact > 0")

@@ -26,6 +26,8 @@ from tessera.store import Store, Tables, bucket_of
 #: Symbol ids of a block that a mention meets at once, and of one broadcast.
 BLOCK = 1000
 BROADCAST_IDS = 200_000
+#: Subsystems of an overview.
+OVERVIEW_SUBSYSTEMS = 8
 HIT = ["ref", "path", "name", "kind", "role", "language", "score", "summary"]
 
 
@@ -117,10 +119,17 @@ class Engine:
         self._embed()
         return updated, deleted
 
-    def _bm25(self, of: str, words: list[str]) -> DataFrame:
-        """ref, bm25 of the files or symbols that hold a word, from the stored postings: row groups of other terms are not read."""
-        size = self.store.read("lengths").where(F.col("of") == of).agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).first()
-        return ranking.bm25_from_postings(self.store.read("postings").where(F.col("of") == of), words, size["n"], size["mean"] or 0.0)
+    def _bm25(self, words: list[str]) -> DataFrame:
+        """ref, bm25 of the files and of the symbols that hold a word, from their postings. Sizes and document counts are taken of both kinds at once."""
+        kinds = ["file", "symbol"]
+        of = F.col("of").isin(kinds)
+        sizes = {r["of"]: r for r in self.store.read("lengths").where(of).groupBy("of").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).collect()}
+        hits = self.store.postings(sorted(set(words))).where(of)
+        counts: dict[str, dict[str, int]] = {k: {} for k in kinds}
+        for r in hits.groupBy("of", "term").agg(F.count(F.lit(1)).alias("n")).collect():
+            counts[r["of"]][r["term"]] = r["n"]
+        size = lambda k: (sizes[k]["n"], sizes[k]["mean"] or 0.0) if k in sizes else (0, 0.0)
+        return functools.reduce(DataFrame.unionByName, [ranking.bm25_from_postings(hits.where(F.col("of") == k), words, *size(k), counts[k]) for k in kinds])
 
     # Vectors
 
@@ -155,6 +164,20 @@ class Engine:
     # Reading
 
     def overview(self) -> dict[str, Any]:
+        return self._overview()[0]
+
+    def _leading_subsystems(self, low: str | None) -> tuple[list[str], list[str]]:
+        """Summaries of the first subsystems, and of the first that has ``low`` in its name or summary, from one job over the same rows."""
+        subs, order = self.store.read("subsystems"), [F.desc("file_count"), F.col("name")]
+        rows = subs.orderBy(*order).limit(OVERVIEW_SUBSYSTEMS).withColumn("what", F.lit(0))
+        if low is not None:
+            match = subs.where(F.lower("name").contains(low) | F.lower("summary").contains(low))
+            rows = rows.unionByName(match.orderBy(*order).limit(1).withColumn("what", F.lit(1)))
+        rows = rows.orderBy("what", *order).collect()
+        return [r["summary"] for r in rows if r["what"] == 0], [r["summary"] for r in rows if r["what"] == 1]
+
+    def _overview(self, low: str | None = None) -> tuple[dict[str, Any], list[str]]:
+        """The overview, and the summary of the first subsystem that has ``low``, if any."""
         files = self.store.read("files")
         count = lambda by: {r[by]: r["n"] for r in features.overview_counts(files, by).collect()}
         languages, roles = count("language"), count("role")
@@ -165,16 +188,15 @@ class Engine:
             f"Repository {self.store.root.name} contains {sum(roles.values())} indexed files. Top languages: {listed(list(languages.items())[:3], 'no detected languages')}. "
             f"Top roles: {listed(list(roles.items())[:3], 'no roles detected')}. Primary directories: {listed([(r['d'], r['n']) for r in dirs])}. Key root files: {', '.join(keys) or 'none'}."
         )
-        top = self.store.read("subsystems").orderBy(F.desc("file_count"), "name").limit(8).collect()
-        return {"repo_root": str(self.store.root), "summary": summary, "languages": languages, "roles": roles, "key_files": keys, "subsystems": [r["summary"] for r in top]}
+        subs, lead = self._leading_subsystems(low)
+        return {"repo_root": str(self.store.root), "summary": summary, "languages": languages, "roles": roles, "key_files": keys, "subsystems": subs}, lead
 
     def search_df(self, query: str, kind: str | None = None) -> DataFrame:
         """All hits with their scores, unordered."""
         asked, second = text.query_terms(query), self.policy.ranking_v2
         at = F.lit(self.clock()).cast("timestamp")
         words = tokens(" ".join(text.query_words(query)))
-        full = self._bm25("file", words).unionByName(self._bm25("symbol", words))
-        full = ranking.normalized(full.where("bm25 > 0"), "bm25")
+        full = ranking.normalized(self._bm25(words).where("bm25 > 0"), "bm25")
         semantic = self._semantic(query)
 
         def extra(df: DataFrame):  # noqa: ANN202
@@ -357,10 +379,8 @@ class Engine:
 
     def explain(self, subject: str, depth: str | None = None) -> dict[str, Any]:
         began = time.perf_counter()
-        over, hits = self.overview(), self.search(subject, limit=6)["results"]
-        low = subject.lower()
-        subs = self.store.read("subsystems").where(F.lower("name").contains(low) | F.lower("summary").contains(low)).orderBy(F.desc("file_count"), "name")
-        lead = [r["summary"] for r in subs.select("summary").limit(1).collect()] or over["subsystems"]
+        (over, lead), hits = self._overview(subject.lower()), self.search(subject, limit=6)["results"]
+        lead = lead or over["subsystems"]
         if hits:
             said = f"{subject!r} is most closely connected to {', '.join(h['ref'] for h in hits[:4])}. Top subsystem context: {lead[0] if lead else 'No subsystem summary available.'}"
         else:
@@ -455,7 +475,7 @@ class Engine:
         imported = shape(imports.where(said).dropDuplicates(["symbol_id", "path"]).join(direct.select("symbol_id", "path"), ["symbol_id", "path"], "left_anti"), 1, F.lit("imports"), null, null, "relation")
         # Chunks that hold a word of a name, from the postings; the regular expression decides, and goes first, so that few texts are moved.
         words = sorted({w for n in names for w in tokens(n)})
-        held = self.store.read("postings").where((F.col("of") == "chunk") & F.col("term").isin(words)).select(F.substring("ref", 7, 1 << 30).alias("chunk_id")).distinct()
+        held = self.store.postings(words).where("of = 'chunk'").select(F.substring("ref", 7, 1 << 30).alias("chunk_id")).distinct()
         texts = [c.where(holds(n)).select(F.lit(n).alias("name"), "chunk_id", "path", F.col("line_start").alias("line"), F.substring(text.strip(_lines_with("text", n)), 1, 160).alias("context")) for n in names]
         texts = functools.reduce(DataFrame.unionByName, texts)
         texts = (texts.where(F.col("path").startswith(scope)) if scope else texts).join(held, "chunk_id", "left_semi")

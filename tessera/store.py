@@ -40,14 +40,20 @@ def columns_of(name: str, df: DataFrame) -> list[str]:
 
 
 class Tables:
-    """Tables held as DataFrames, with the reading side of a store: queries over tables that are no index of a tree."""
+    """Tables held as DataFrames, with the reading side of a store: queries over tables that are no index of a tree.
 
-    def __init__(self, spark: SparkSession, name: str, tables: dict[str, DataFrame]) -> None:
-        self.spark, self.tables, self.root, self.state = spark, tables, Path("/") / name, Path("/") / name / config.STATE_DIR
+    ``postings`` gives the postings of some terms, where they are no table.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, tables: dict[str, DataFrame], postings: Callable[[list[str]], DataFrame] | None = None) -> None:
+        self.spark, self.tables, self.root, self.state, self.made = spark, tables, Path("/") / name, Path("/") / name / config.STATE_DIR, postings
 
     def read(self, name: str, buckets: list[int] | None = None) -> DataFrame:  # noqa: ARG002
         return self.tables[name] if name in self.tables else self.spark.createDataFrame([], TABLES[name])
 
+    def postings(self, words: list[str]) -> DataFrame:
+        return self.made(words) if self.made else self.read("postings").where(F.col("term").isin(words))
+
     def meta(self, key: str) -> str | None:  # noqa: ARG002
         return None
 
@@ -124,6 +130,10 @@ class Store:
             return self.spark.createDataFrame([], TABLES[name])
         return self.spark.read.schema(TABLES[name]).parquet(*[str(self.state / f) for f in folders])
 
+    def postings(self, words: list[str]) -> DataFrame:
+        """The postings of some terms: row groups of other terms are not read."""
+        return self.read("postings").where(F.col("term").isin(words))
+
     def _placed(self, name: str, df: DataFrame) -> str:
         folder = f"{name}-{uuid.uuid4().hex}"
         df.select(*columns_of(name, df)).write.parquet(str(self.state / folder))

@@ -247,3 +247,22 @@ def test_usages_move_no_pairs(spark, monkeypatch):
     assert moved_rows(spark, seen) < 20_000
     assert {r["path"] for r in e.usages_df("trash", "d/f12").collect()} == {f"d/f{k}" for k in (12, *range(120, 130))}
     assert e.usages_df("none").collect() == []
+
+
+def test_explain_reads_subsystems_twice(engine, monkeypatch):
+    """Once for the overview with the leading one, and once for the hits."""
+    want, read, names = engine.explain("login"), engine.store.read, []
+    engine.store.clear_cache()
+    monkeypatch.setattr(engine.store, "read", lambda name, *rest: (names.append(name), read(name, *rest))[1])
+    got = engine.explain("login")
+    assert {k: v for k, v in got.items() if k != "elapsed_ms"} == {k: v for k, v in want.items() if k != "elapsed_ms"}
+    assert names.count("subsystems") == 2
+
+
+def test_search_takes_sizes_and_counts_of_both_kinds_at_once(engine, monkeypatch):
+    read, names = engine.store.read, []
+    monkeypatch.setattr(engine.store, "read", lambda name, *rest: (names.append(name), read(name, *rest))[1])
+    found = {r["ref"]: r["bm25"] for r in engine._bm25(["login", "login"]).collect()}
+    assert names.count("lengths") == names.count("postings") == 1
+    assert any(r.startswith("file:") for r in found) and any(r.startswith("symbol:") for r in found)
+    assert engine._bm25([]).collect() == [] and engine._bm25(["zzzqqq"]).collect() == []

@@ -247,3 +247,33 @@ def test_deeply_nested_source_has_its_headings(spark):
     files = [("a.py", "-" * 100_000 + "1\n"), ("b.py", "(" * 5000 + ")" * 5000 + "\n# Heading\n"), ("c.py", "def f():\n    pass\n")]
     rows = symbols.symbols_of(symbols.scan_symbols(spark.createDataFrame(files, "path string, text string"))).collect()
     assert [(r["path"], r["name"]) for r in sorted(rows, key=lambda r: r["path"])] == [("b.py", "Heading"), ("c.py", "f")]
+
+
+def test_leading_lines_from_the_head(spark):
+    """The head of a text gives the same summary as all its lines, and a text that goes on is cut into lines only as far as that."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tessera.functions import text
+    from tessera.operators import features
+
+    rng = random.Random(5)
+    pieces = [" ", "\n", "\r\n", "\r", "\t", "\x0b", "\x1c", "\x85", "\u2028", "\u00a0", "\x1f", "a", "b c", "word", "é", "😀", "x" * 50, " " * 90, "\n" * 90]
+    texts = ["", " ", "\n", "a" * 1000, " " * 399 + "b" * 300, "a\n" * 500, "a" * 399 + "\r\n" + "b" * 9, "a" * 179 + " " * 300 + "b", "a\n" * 5 + " " * 500 + "tail\nb", "\n" * 1000 + "late"]
+    texts += ["".join(rng.choices(pieces, k=rng.choice([3, 30, 300]))) for _ in range(300)]
+    said = F.filter(F.transform(text.lines("t"), text.strip), lambda x: x != "")
+    whole = F.substring(F.array_join(F.slice(said, 1, 6), " "), 1, 180)
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", whole.alias("whole"), features.leading("t").alias("head")).collect()
+    assert [r["head"] for r in rows] == [r["whole"] for r in rows]
+
+
+def test_postings_of_some_terms(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.operators import ranking
+
+    d = spark.createDataFrame([("a", "k", ["x", "y", "x"]), ("b", "k", ["z"]), ("c", "m", []), ("d", "m", ["y", "z", "zz"])], "ref string, of string, tokens array<string>")
+    rows = lambda df: sorted(map(tuple, df.select("term", "ref", "of", "length", "tf").collect()))
+    assert rows(ranking.postings_of(["x", "z", "none", "x"], d, "of")) == rows(ranking.postings(d, "of").where(F.col("term").isin("x", "z"))) != []
+    assert rows(ranking.postings_of([], d, "of")) == []
