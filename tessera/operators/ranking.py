@@ -80,6 +80,18 @@ def bm25(docs: DataFrame, query: list[str], tokens: str = "tokens") -> DataFrame
     return docs.withColumn("bm25", F.get(F.transform(F.array(t), score), F.lit(0)))
 
 
+def bm25_counted(docs: DataFrame, query: list[str], words: list[str]) -> DataFrame:
+    """``bm25`` of documents (length, tf) whose words are counted already: tf has a count for each of ``words``, the query's own."""
+    if not words:
+        return docs.withColumn("bm25", F.lit(0.0))
+    tf = [F.get("tf", F.lit(i)) for i in range(len(words))]
+    said = [F.coalesce(F.sum((n > 0).cast("long")), F.lit(0)).alias(f"d{i}") for i, n in enumerate(tf)]
+    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("mean"), *said).first()
+    length = F.col("length").cast("double")
+    parts = [term_score(tf[i].cast("double"), length, stats["n"], stats["mean"], stats[f"d{i}"]) * float(query.count(w)) for i, w in enumerate(words)]
+    return docs.withColumn("bm25", added(parts))
+
+
 def idf(n: int, found: int) -> float:
     from math import log
 

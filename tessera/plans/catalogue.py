@@ -83,11 +83,12 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("bm25_stemmed")
 def bm25_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tessera.functions.porter import stemmed, tokens
+    from tessera.functions.porter import counted, tokens
 
-    d = read(spark, sf_dir, "documents").select("doc_id", stemmed("text").alias("tokens"))
     asked = tokens(ASKED)
-    return ranking.bm25(d, asked).where(F.arrays_overlap("tokens", F.array(*map(F.lit, asked)))).select("doc_id", rounded("bm25").alias("score"))
+    own = sorted(set(asked))
+    d = read(spark, sf_dir, "documents").select("doc_id", counted("text", own).alias("c")).select("doc_id", "c.length", "c.tf")
+    return ranking.bm25_counted(d, asked, own).where(F.exists("tf", lambda n: n > 0)).select("doc_id", rounded("bm25").alias("score"))
 
 
 LINES = "CASE WHEN text LIKE '%' || chr(10) THEN string_split(text, chr(10))[1:-2] WHEN text = '' THEN [] ELSE string_split(text, chr(10)) END"

@@ -25,8 +25,14 @@ def local_session(cpus: int = 8, memory: str = "8g") -> SparkSession:
     return spark
 
 
+#: Rows of an Arrow batch, which holds whole texts.
+ARROW_ROWS = 1000
+
+
 def reach_package(spark: SparkSession) -> None:
-    """Tell this machine's Python workers where the package is; on a cluster it is installed or sent with --py-files."""
+    """Tell this machine's Python workers where the package is; on a cluster it is installed or sent with --py-files. Texts go to them in small batches."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # Spark's own default
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     env, home = spark.sparkContext.environment, str(Path(__file__).resolve().parents[1])
     if home not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [home, env.get("PYTHONPATH")]))

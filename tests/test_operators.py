@@ -277,3 +277,27 @@ def test_postings_of_some_terms(spark):
     rows = lambda df: sorted(map(tuple, df.select("term", "ref", "of", "length", "tf").collect()))
     assert rows(ranking.postings_of(["x", "z", "none", "x"], d, "of")) == rows(ranking.postings(d, "of").where(F.col("term").isin("x", "z"))) != []
     assert rows(ranking.postings_of([], d, "of")) == []
+
+
+def test_stems_are_counted_in_slices(spark):
+    """No more than a slice of texts is held as tokens, whatever the batch; counts and scores are those of whole token lists."""
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from tessera import session
+    from tessera.functions import porter
+    from tessera.operators import ranking
+
+    texts = ["running runs ran", None, "", "Licenses license ÉTÉ été", "x" * 3_000_000, *["the trashed trash"] * 1200]
+    parts = list(porter.slices(pd.Series(texts)))
+    assert [t for p in parts for t in p] == texts and all(len(p) <= porter.SLICE_ROWS for p in parts)
+    assert all(len(p) == 1 or sum(len(t or "") for t in p) <= porter.SLICE_CHARS for p in parts)
+    assert [len(p) for p in porter.slices(pd.Series([], dtype=object))] == [0]
+    session.reach_package(spark)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= session.ARROW_ROWS
+    d = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    asked = porter.tokens("license trash trashed run")
+    whole = ranking.bm25(d.select("id", porter.stemmed("text").alias("tokens")), asked).select("id", F.size("tokens"), "bm25")
+    own = sorted(set(asked))
+    few = ranking.bm25_counted(d.select("id", porter.counted("text", own).alias("c")).select("id", "c.*"), asked, own).select("id", "length", "bm25")
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, whole.collect()))
